@@ -26,7 +26,7 @@ WINDOW = 1024
 #: Characters that are cut into pieces at a time.
 SEGMENT = 1 << 16
 #: Pieces whose tokens are remembered by a worker; beyond, the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Ids that the decoder takes at a time.
 BLOCK = 1 << 14
 
@@ -189,7 +189,7 @@ def _encode(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = transducer(path)
         for texts in batches:
-            ids = [t.encode(x or "") for x in texts.to_pylist()]
+            ids = [t.encode(x.as_py() or "") for x in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
@@ -201,7 +201,8 @@ def _decode(path: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = transducer(path)
         for lists in batches:
-            yield pa.array([t.decode(x or []) for x in lists.to_pylist()], pa.string())
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            yield pa.array([t.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
     return decode
 

@@ -11,7 +11,13 @@ from padlake.llm import bpe, quality, toxicity
 from padlake.llm.labelled import fold
 
 
+#: Rows and bytes that a Python worker holds at a time; texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
