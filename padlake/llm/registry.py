@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlake.llm import bpe, quality, toxicity
+from padlake.llm import bpe, decontaminate, line_dedup, quality, toxicity
 from padlake.llm.labelled import fold
 
 
@@ -51,6 +51,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it has a passage of; clean documents have none."""
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,8 +69,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op8_quality": op8_quality}
-ORACLE: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text that stays, n_lines, n_removed_lines of every document."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_line_dedup": op10_line_dedup}
+ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

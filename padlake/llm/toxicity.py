@@ -22,10 +22,10 @@ from padlake.llm.labelled import training_rows
 #: Label rows that the machine is fitted on, at most.
 SAMPLE = 8192
 #: Buckets of the hash; of these the TERMS that tell the labels apart best take part.
-BUCKETS, TERMS = 1 << 20, 1024
+BUCKETS, TERMS = 1 << 20, 2048
 FACTORS, STEPS, RATE, DECAY = 8, 250, 0.05, 2e-4
 #: Beginnings of words that are terms of their own, for words that are put together.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 REMEMBERED = 200_000
 
 WORDS = re.compile(r"[^\W\d_]+")
