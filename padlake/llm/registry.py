@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlake.llm import bpe, decontaminate, line_dedup, quality, toxicity
+from padlake.llm import bpe, decontaminate, html_text, line_dedup, neighbours, preference, quality, toxicity
 from padlake.llm.labelled import fold
 
 
@@ -39,6 +39,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; learnt from the rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +57,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 nearest of each vector whose id is divisible by 50."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it has a passage of; clean documents have none."""
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -69,13 +80,29 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pair of conversations: those of even id are chosen, that of the next odd id is rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    sides = preference.pairs(turns, F.expr("conv_id div 2"), F.col("conv_id") % 2 != 0)
+    return preference.format_pairs(sides).withColumns({m: preference.mask_text(m) for m in ("chosen_mask", "rejected_mask")})
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that stays, n_lines, n_removed_lines of every document."""
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op3_toxicity": op3_toxicity, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_line_dedup": op10_line_dedup}
-ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.oracle()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_html": op2_html,
+    "op3_toxicity": op3_toxicity,
+    "op4_neighbours": op4_neighbours,
+    "op6_decontaminate": op6_decontaminate,
+    "op8_quality": op8_quality,
+    "op9_preference": op9_preference,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLE: dict[str, str] = {"op9_preference": preference.oracle(), "op10_line_dedup": line_dedup.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
