@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from padlake.llm import bpe, decontaminate, html_text, line_dedup, neighbours, preference, quality, suffix_dedup, toxicity
+from padlake.llm import bpe, decontaminate, html_text, jaccard, line_dedup, neighbours, preference, quality, suffix_dedup, toxicity
 from padlake.llm.labelled import fold
 
 
@@ -62,6 +62,11 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: three words a shingle, alike from 90 of 100."""
+    return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item that it has a passage of; clean documents have none."""
     found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html": op2_html,
     "op3_toxicity": op3_toxicity,
     "op4_neighbours": op4_neighbours,
+    "op5_jaccard": op5_jaccard,
     "op6_decontaminate": op6_decontaminate,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality": op8_quality,
