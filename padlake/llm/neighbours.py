@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 16384
 CODEBOOKS, WORDS, BEAM, ROUNDS, SEED = 20, 256, 6, 2, 3
-#: Of the least squares, towards the words so far.
-RIDGE = np.float32(2)
+#: Of the least squares: how strongly words stay as they are, and how often each is looked at in a round.
+RIDGE, SWEEPS = np.float32(0.5), 6
 #: Candidates of a query that are ranked by the exact cosine.
 RERANKED = 200
 #: Coded vectors and queries that meet in one task at a time.
@@ -73,7 +73,7 @@ class Codebooks:
 
 
 def train(x: np.ndarray, books: int = CODEBOOKS, words: int = WORDS, rounds: int = ROUNDS) -> Codebooks:
-    """Codebooks for unit vectors: residual k-means, then rounds of beam search and least squares over all words at once."""
+    """Codebooks for unit vectors: residual k-means, then rounds of beam search and of least squares, word by word."""
     rng = np.random.default_rng(SEED)
     words = max(1, min(words, len(x)))
     left, found = x.copy(), []
@@ -89,15 +89,16 @@ def train(x: np.ndarray, books: int = CODEBOOKS, words: int = WORDS, rounds: int
         found.append(w)
     made = Codebooks(np.stack(found).astype(np.float32))
     for _ in range(rounds):
-        cells = made.encode(x, 3).astype(np.int64) + np.arange(books) * words
-        gram, with_x = np.zeros((books * words, books * words), np.float32), np.zeros((books * words, x.shape[1]), np.float32)
-        for a in range(books):
-            np.add.at(with_x, cells[:, a], x)
-            for b in range(books):
-                np.add.at(gram, (cells[:, a], cells[:, b]), 1)
-        start = made.words.reshape(books * words, -1)
-        gram[np.diag_indices(books * words)] += RIDGE
-        made = Codebooks(np.linalg.solve(gram, with_x + RIDGE * start).reshape(made.words.shape))
+        codes = made.encode(x, 3)
+        left = x - made.decode(codes)
+        for _ in range(SWEEPS):
+            for m, w in enumerate(made.words):
+                at = codes[:, m]
+                sums = np.zeros_like(w)
+                np.add.at(sums, at, left)
+                change = sums / (np.bincount(at, minlength=words).astype(np.float32)[:, None] + RIDGE)
+                w += change
+                left -= change[at]
     return made
 
 
