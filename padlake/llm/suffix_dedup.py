@@ -316,7 +316,7 @@ def _send_contexts(length: int, ranges: int):
         return pa.table({
             "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "range": pa.array(rows, pa.int32()),
-            "bodies": pa.array([b"".join(bodies[i] for i in x.tolist()) for x in some], pa.binary()),
+            "bodies": pa.array([pa.compress(b"".join(bodies[i] for i in x.tolist()), "zstd", asbytes=True) for x in some], pa.binary()),
             "sizes": pa.array([_blob(np.array([len(bodies[i]) for i in x.tolist()], np.uint16)) for x in some], pa.binary()),
             **{name: pa.array([_blob(v[x]) for x in some], pa.binary()) for name, v in (("grams", g), ("hashes", h), ("least", least), ("most", most))},
         })
@@ -330,7 +330,8 @@ def _answer(length: int):
         counts = np.array([len(b) // 8 for b in table["hashes"].to_pylist()])
         shard = np.repeat(np.array(table["shard"].to_pylist(), np.int64), counts)
         sizes, grams, hashes, least, most = joined("sizes", np.uint16).astype(np.int64), joined("grams", np.uint64), joined("hashes", np.uint64), joined("least", np.int64), joined("most", np.int64)
-        bodies = b"".join(table["bodies"].to_pylist())
+        packed = zip(table["bodies"].to_pylist(), table["sizes"].to_pylist())
+        bodies = b"".join(pa.decompress(b, int(np.frombuffer(n, np.uint16).sum()), "zstd", asbytes=True) for b, n in packed)
         ends = np.cumsum(sizes)
         # Contexts that several shards have are one, of their smallest document.
         _, first, which = np.unique(np.stack([hashes, grams]), axis=1, return_index=True, return_inverse=True)
