@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from padlake.plans import workload
+from padlake.plans import join_queries, private_queries, synopsis_queries, workload
 
-PARTS = (workload,)
+PARTS = (workload, private_queries, join_queries, synopsis_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

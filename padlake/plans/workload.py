@@ -14,7 +14,7 @@ DISP = "(SELECT DISTINCT o_custkey, o_orderstatus FROM orders)"
 
 SQL = {
     "q1_filter_eq": "SELECT * FROM part WHERE p_size = 36",
-    "q2_filter_range": "SELECT * FROM lineitem WHERE l_extendedprice > 10000 AND l_extendedprice < 20000 AND l_returnflag = 'R'",
+    "q2_filter_range": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem WHERE l_extendedprice > 10000 AND l_extendedprice < 20000 AND l_returnflag = 'R'",
     "q3_count_distinct": """SELECT CAST(count(DISTINCT o.o_custkey) AS BIGINT) AS n_accounts
         FROM customer c, orders o
         WHERE c.c_custkey = o.o_custkey AND c.c_nationkey = 18 AND o.o_orderpriority = '1-URGENT'""",
@@ -26,15 +26,15 @@ SQL = {
         FROM customer c, events e, orders o
         WHERE c.c_custkey = e.user_id AND c.c_custkey = o.o_custkey
           AND e.event_type = 'click' AND o.o_orderpriority = '1-URGENT'""",
-    "q6_sum": f"""SELECT sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS total
+    "q6_sum": f"""SELECT CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) * 100 AS BIGINT) AS total_cents
         FROM orders o, events e, {DISP} d
         WHERE o.o_custkey = e.user_id AND o.o_custkey = d.o_custkey
           AND o.o_orderpriority = '1-URGENT' AND e.event_type = 'click'""",
-    "q7_min": f"""SELECT min(CAST(o.o_totalprice AS DECIMAL(18,2))) AS lowest
+    "q7_min": f"""SELECT CAST(min(CAST(o.o_totalprice AS DECIMAL(18,2))) * 100 AS BIGINT) AS lowest_cents
         FROM customer c, events e, orders o, {DISP} d
         WHERE c.c_custkey = e.user_id AND c.c_custkey = o.o_custkey AND c.c_custkey = d.o_custkey
           AND o.o_orderpriority = '1-URGENT' AND e.event_type = 'click' AND d.o_orderstatus = 'F'""",
-    "q8_max_cross": f"""SELECT max(CAST(o.o_totalprice AS DECIMAL(18,2))) AS highest
+    "q8_max_cross": f"""SELECT CAST(max(CAST(o.o_totalprice AS DECIMAL(18,2))) * 100 AS BIGINT) AS highest_cents
         FROM customer c, events e, orders o, {DISP} d, (SELECT 1 AS present FROM part WHERE p_size = 36 LIMIT 1) l
         WHERE c.c_custkey = e.user_id AND c.c_custkey = o.o_custkey AND c.c_custkey = d.o_custkey
           AND o.o_orderpriority = '1-URGENT' AND e.event_type = 'click' AND d.o_orderstatus = 'F'""",
