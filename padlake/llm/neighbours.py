@@ -133,7 +133,13 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
     return coded.select("key", "code", size("code").alias("size"))
 
 
-def _scan(books: Codebooks, reranked: int):
+def share(reranked: int, blocks: int) -> int:
+    """Of the best ``reranked``, how many one of so many blocks may have: rows are dealt by hash, so that more are six deviations away."""
+    mean = reranked / max(blocks, 1)
+    return min(reranked, math.ceil(mean + 6 * math.sqrt(mean)) + 4)
+
+
+def _scan(books: Codebooks, most: int):
     def scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
         if queries.empty or rows.empty:
@@ -146,7 +152,7 @@ def _scan(books: Codebooks, reranked: int):
             table = books.words @ unit(np.asarray(v, float)[None])[0]
             near = 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1])) - size
             near[keys == q] = -np.inf
-            n = min(reranked, len(near))
+            n = min(most, len(near))
             # All that tie with the last are looked at, so that the smaller keys stay.
             least = np.partition(near, len(near) - n)[len(near) - n]
             best = np.flatnonzero(near >= least)
@@ -167,7 +173,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     those of the original vectors, in double precision.
 
     The coded rows and the queries meet block by block: blocks hold about ROWS and QUERIES, whatever the table's size
-    and the values in it, and each sends on ``reranked`` candidates of a query at most.
+    and the values in it, and each sends on its share of the ``reranked`` candidates of a query.
     """
     spark = df.sparkSession
     every = usable(df, key, vector)
@@ -182,7 +188,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     block = lambda n: F.pmod(F.xxhash64("key", F.lit(17)), F.lit(n)).cast("int")
     rows = index(every, books).select("*", block(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
     asked = queries.select("key", "v", block(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    found = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_scan(books, reranked), "query long, key long, near float")
+    found = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_scan(books, share(reranked, row_blocks)), "query long, key long, near float")
     found = found.groupBy("query", "key").agg(F.max("near").alias("near"))
     best = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "key"))).where(F.col("at") <= reranked)
     left, right = queries.select(F.col("key").alias("query"), F.col("v").alias("a")), every.select("key", F.col("v").alias("b"))
