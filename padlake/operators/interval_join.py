@@ -72,7 +72,7 @@ def padded_join(a: Side, b: Side, merge: int, noise: ShiftedGeometric, source: K
     Without ``metas`` all that is drawn is added. With them a batch of real rows and dummies stays at the bound
     min(a_freq * met of b, b_freq * met of a), or at its real rows where these are more: no real row is ever cut.
     """
-    freq = joined_freq(a.freq, b.freq)
+    freq = joined_freq(a.freq, b.freq).cache()
     p = pairs(a.buckets, b.buckets, merge)
     batch = p.groupBy("batch").agg(
         F.min("start").alias("start"),
@@ -91,8 +91,10 @@ def padded_join(a: Side, b: Side, merge: int, noise: ShiftedGeometric, source: K
         bound = F.least(F.lit(metas[0].a).cast("decimal(19,0)") * wide("b_met").cast("decimal(18,0)"), F.lit(metas[1].a).cast("decimal(19,0)") * wide("a_met").cast("decimal(18,0)"))
         dummies = F.greatest(F.least(wide("real") + wide("drawn"), bound.cast("decimal(38,0)")) - wide("real"), F.lit(0).cast("decimal(38,0)")).cast("long")
     batch = batch.withColumn("n_dummy", dummies)
+    # Metadata, used by the next join and by the costs; its noise is keyed, so that a lost copy comes back the same.
+    batch = batch.select("part_id", "start", "end", "compared", "real", "drawn", "n_dummy").cache()
     buckets = batch.select("part_id", "start", "end", F.col("real").alias("n_real"), "n_dummy")
-    return Side(freq, buckets, a.domain), batch.select("part_id", "start", "end", "compared", "real", "drawn", "n_dummy")
+    return Side(freq, buckets, a.domain), batch
 
 
 def joined_rows(a: DataFrame, b: DataFrame, on_conflict: str = "right_wins", key: str = "key", how: str = "inner") -> DataFrame:

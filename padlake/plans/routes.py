@@ -62,7 +62,7 @@ class Route:
             parts = partition.uniform_parts(freq.sparkSession, self.domain, self.bins)
         else:
             parts = partition.private_parts(freq, partition.PrivateScan.offline(eps, delta, self.domain, sens), SOURCE, tag)
-        return Side(freq, bucket.buckets(freq, parts, self.domain, ShiftedGeometric(eps, delta, sens), SOURCE, tag), self.domain)
+        return Side(freq, bucket.buckets(freq, parts, self.domain, ShiftedGeometric(eps, delta, sens), SOURCE, tag).cache(), self.domain)
 
     def joined(self, run: Run, other: Side, k: int, metas: tuple[JoinMeta, JoinMeta]) -> JoinMeta:
         """One more join of the run; returns the metadata of its result."""

@@ -60,6 +60,6 @@ def sparse_keys(spark: SparkSession, domain: int, n: int, clusters: int = 5, spr
 def mock_keys(spark: SparkSession, seed: int = 1) -> DataFrame:
     """(key) in 1..100: dense at 1-10 (5 to 14 rows each), sparse at 40-45 (1 to 4), denser at 90-100 (20 to 49), nothing between."""
     spans = spark.createDataFrame([(1, 10, 5, 14), (40, 45, 1, 4), (90, 100, 20, 49)], "a int, b int, low int, high int")
-    keys = spans.select(F.explode(F.sequence("a", "b")).cast("long").alias("key"), "low", "high")
+    keys = spans.select(F.explode(F.sequence("a", "b")).alias("k"), "low", "high").withColumn("key", F.col("k").cast("long"))
     n = (F.floor(F.rand(seed) * (F.col("high") - F.col("low") + 1)) + F.col("low")).cast("int")
     return keys.select("key", F.explode(F.sequence(F.lit(1), n)).alias("copy")).select("key")
