@@ -44,10 +44,6 @@ class Budget:
     def meta(self) -> tuple[float, float]:
         return self.eps * self.meta_share, self.delta * self.meta_share
 
-    def each_meta(self, tables: int) -> tuple[float, float]:
-        e, d = self.meta
-        return e / tables, d / tables
-
     @property
     def stage(self) -> tuple[float, float]:
         return (self.eps - self.meta[0]) / self.shares, (self.delta - self.meta[1]) / self.shares

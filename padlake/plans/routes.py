@@ -47,12 +47,9 @@ class Route:
     bounded: bool = False
     bins: int = 8
 
-    def _meta_budget(self, tables: int) -> tuple[float, float]:
-        return self.budget.each_meta(tables)
-
-    def meta(self, freq: DataFrame, table: str, tables: int) -> JoinMeta:
-        """Noisy frequency bound; the only number of a table that the driver learns."""
-        return JoinMeta.of_frequency(frequency.max_freq(freq).first().max_freq, *self._meta_budget(tables), SOURCE, f"{self.name}/{table}")
+    def meta(self, freq: DataFrame, table: str) -> JoinMeta:
+        """Noisy frequency bound; the only number of a table that the driver learns. Tables are apart, so each gets the whole share."""
+        return JoinMeta.of_frequency(frequency.max_freq(freq).first().max_freq, *self.budget.meta, SOURCE, f"{self.name}/{table}")
 
     def prepared(self, freq: DataFrame, table: str, sens: int = 1) -> Side:
         """A table's histogram, partitioned and padded."""
@@ -77,7 +74,7 @@ class Route:
         """A left-deep chain over tables of one key; ``tables``: name to keyed histogram, in join order, which noise depends on."""
         names = list(tables)
         freqs = {t: f.cache() for t, f in tables.items()}
-        metas = {t: self.meta(f, t, len(names)) for t, f in freqs.items()}
+        metas = {t: self.meta(f, t) for t, f in freqs.items()}
         run, meta = Run(self.prepared(freqs[names[0]], names[0])), metas[names[0]]
         for k, t in enumerate(names[1:]):
             if k and self.kind == "repartitioned":
@@ -94,8 +91,8 @@ class Route:
         larger of the bridge's frequencies on both keys.
         """
         first, bridge, last = first.cache(), bridge.cache(), last.cache()
-        m1, m3 = self.meta(first, "first", 3), self.meta(last, "last", 3)
-        m2 = JoinMeta.of_frequency(bridge_max.first().max_freq, *self._meta_budget(3), SOURCE, f"{self.name}/bridge")
+        m1, m3 = self.meta(first, "first"), self.meta(last, "last")
+        m2 = JoinMeta.of_frequency(bridge_max.first().max_freq, *self.budget.meta, SOURCE, f"{self.name}/bridge")
         run = Run(self.prepared(first, "first"))
         meta = self.joined(run, self.prepared(bridge, "bridge"), 0, (m1, m2))
         before = run.side.buckets
@@ -117,7 +114,7 @@ class Route:
         return f"{parts},{bucket.buckets_sql(table, f'{table}_freq', f'{table}_parts', ShiftedGeometric(eps, delta, sens), SOURCE, f'{self.name}/{tag}')}"
 
     def _metas_sql(self, tables: list[str]) -> str:
-        eps, delta = self._meta_budget(len(tables))
+        eps, delta = self.budget.meta
         return ", ".join(f"{t}_meta AS (SELECT {meta_sql(f'max(freq)', eps, delta, SOURCE, f'{self.name}/{t}')} AS a, 1::BIGINT AS b FROM {t}_freq)" for t in tables)
 
     def same_key_sql(self, ctes: str, tables: list[str]) -> str:

@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Key frequencies of streams."""
