@@ -49,7 +49,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text, how many, and whether they decode to it."""
     small_batches(spark)
-    done = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    done = bpe.round_trip(docs, tokenizer_path())
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return done.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"), "token_ids", same.alias("round_trip"))
 
