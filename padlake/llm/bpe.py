@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from padlake.llm.memory import trim
+
 #: Fixed values of the byte-level format: the pattern that cuts text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Symbols of a piece that are looked at together beyond the lookahead; shorter pieces are merged at once.
@@ -192,6 +194,7 @@ def _encode(path: str):
             ids = [t.encode(x.as_py() or "") for x in texts]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            trim()
 
     return encode
 
@@ -203,10 +206,27 @@ def _decode(path: str):
         for lists in batches:
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             yield pa.array([t.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+            trim()
 
     return decode
 
 
+def _both(path: str):
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("text", pa.string())])
+
+    @F.arrow_udf("struct<ids:array<int>,text:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        t = transducer(path)
+        for texts in batches:
+            ids = [t.encode(x.as_py() or "") for x in texts]
+            decoded = pa.array([t.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string())
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), decoded], fields=list(kind))
+            trim()
+
+    return both
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``df`` with ``out``: the ids of the whole text, an array that is empty for a null or empty text.
 
@@ -221,6 +241,12 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.withColumn(out, _decode(path)(F.col(f"`{ids}`")))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``df`` with ``ids`` and ``out``: encode and then decode, in one pass of one worker."""
+    whole = df.select("*", _both(path)(F.col(f"`{text}`")).alias("__both"))
+    return whole.withColumns({ids: F.col("__both.ids"), out: F.col("__both.text")}).drop("__both")
+
+
 def ids_digest(ids: Column) -> Column:
     """Lowercase hex SHA-256 of the decimal ids, joined by commas."""
     return F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padlake.llm.memory import trim
+
 WORDS = re.compile(r"[^\W_]+")
 #: 1 - distance / words of the item.
 SIMILARITY = 0.8
@@ -110,7 +112,7 @@ class Index:
             self.bitmaps[size] = np.zeros(1 << _BITMAP, bool)
             self.bitmaps[size][np.fromiter(found, np.uint64) >> np.uint64(64 - _BITMAP)] = True
         longest = max(map(len, self.ids), default=1)
-        self.bits = np.random.default_rng(11).integers(0, 2, (MOST_HASHES, 2 * longest + 1, 256))
+        self.bits = np.random.default_rng(11).integers(0, 2, (MOST_HASHES, 2 * longest + 1, 256), dtype=np.int8)
         self.steps: dict[int, np.ndarray] = {}
         self.tables: dict[int, list[dict[tuple, list[int]]]] = {}
         for n in sorted({len(x) for x in self.ids}):
@@ -209,7 +211,9 @@ def _finder(index: Index):
     def find(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64())]))
         names = [f.name for f in kind.value_type]
-        return pa.array([[dict(zip(names, m)) for m in found] for found in index.find(texts.to_pylist())], kind)
+        found = pa.array([[dict(zip(names, m)) for m in found] for found in index.find(texts.to_pylist())], kind)
+        trim()
+        return found
 
     return find
 

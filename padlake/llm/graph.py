@@ -26,9 +26,11 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join deals both sides itself and can split the rows of a node of high degree.
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = saved(large)
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u")
         now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         # A forest of stars is where every node has one smaller neighbour that has none itself.

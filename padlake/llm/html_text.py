@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padlake.llm.memory import trim
+
 #: Sizes of a block's vectors: its element, what that stands in, its words, its numbers; cells of the LSTM each way.
 OWN, AROUND, HASHED, NUMBERS, CELLS = 64, 160, 32, 8, 20
 INPUTS = OWN + AROUND + HASHED + NUMBERS
@@ -407,6 +409,7 @@ def _extractor(net: Network):
             for k in range(0, len(pages), 200):
                 out += main_text([p or "" for p in pages[k : k + 200].to_pylist()], net, vectors)
             yield pa.array(out, pa.string())
+            trim()
 
     return extract
 

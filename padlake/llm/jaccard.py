@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.graph import components, saved
+from padlake.llm.memory import trimmed
 from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, range_of, sent, unpack
 
 #: Bytes of text in a shard; texts that are looked at together.
@@ -364,7 +365,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     # Small families share a task; a block of a large one is on its own or nearly so.
     bins = F.lit(max(1, math.ceil(families.count() / BINS_ROWS)))
     dealt = dealt.withColumn("bin", F.when((F.col("p") == 0) & (F.col("q") <= 1), F.pmod(F.xxhash64("family"), bins)).otherwise(F.xxhash64("family", "p", "q")))
-    more = dealt.groupBy("bin").applyInArrow(_join(percent), "x long, y long")
+    more = dealt.groupBy("bin").applyInArrow(trimmed(_join(percent)), "x long, y long")
     return components(known.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more))
 
 
@@ -381,14 +382,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     shards = max(1, -(-total // shard_bytes))
     docs = docs.where("doc IS NOT NULL").withColumn("shard", F.pmod(F.xxhash64("doc", "text"), F.lit(shards)).cast("int"))
     dealt = docs.groupBy("shard")
-    found = saved(dealt.applyInArrow(_prints(n), "doc long, shard int, size long, a long, b long"))
+    found = saved(dealt.applyInArrow(trimmed(_prints(n)), "doc long, shard int, size long, a long, b long"))
     classes = found.where("size > 0").groupBy("a", "b").agg(F.min(F.struct("doc", "shard")).alias("f")).select("a", "b", F.col("f.doc").alias("first"), F.col("f.shard").alias("shard"))
     classes = saved(classes)
     firsts = classes.select("shard", F.col("first").alias("doc"), "a", "b")
-    entered = dealt.cogroup(firsts.groupBy("shard")).applyInArrow(_send_entries(n, percent, shards), SENT)
-    heard = entered.groupBy("range").applyInArrow(find_repeated, HEARD)
+    entered = dealt.cogroup(firsts.groupBy("shard")).applyInArrow(trimmed(_send_entries(n, percent, shards)), SENT)
+    heard = entered.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD)
     news = firsts.unionByName(heard, allowMissingColumns=True)
-    members = saved(dealt.cogroup(news.groupBy("shard")).applyInArrow(_members(n, percent), _MEMBERS))
+    members = saved(dealt.cogroup(news.groupBy("shard")).applyInArrow(trimmed(_members(n, percent)), _MEMBERS))
     linked = _linked(members, percent)
     # Documents with equal sets follow the first of them, and those with equal keys each other.
     own = found.join(classes.select("a", "b", "first"), ["a", "b"], "left")
@@ -396,7 +397,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     out = out.withColumn("component_id", F.when(F.col("size") > 0, F.coalesce("component", "first")).otherwise(F.col("doc")))
     alone = df.where(F.col(f"`{key}`").isNull()).select(F.lit(None).cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).distinct()
     alone = alone.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    nulls = alone.groupBy("shard").applyInArrow(_prints_of_nulls(n), "doc long, size long").select("doc", "size", F.lit(None).cast("long").alias("component_id"))
+    nulls = alone.groupBy("shard").applyInArrow(trimmed(_prints_of_nulls(n)), "doc long, size long").select("doc", "size", F.lit(None).cast("long").alias("component_id"))
     out = out.select("doc", "size", "component_id").union(nulls)
     return out.select(F.col("doc").alias(key), F.col("size").alias("n_shingles"), "component_id")
 

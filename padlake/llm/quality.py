@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.labelled import training_rows
+from padlake.llm.memory import trim
 
 #: Label rows that the trees are fitted on, at most.
 SAMPLE = 8192
@@ -137,5 +138,6 @@ def score(docs: DataFrame, forest: Forest, text: str = "text", out: str = "score
         for texts in batches:
             x = np.array([statistics(t or "") for t in texts.to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.array(forest.score(x), pa.float64())
+            trim()
 
     return docs.withColumn(out, scored(F.col(f"`{text}`")))

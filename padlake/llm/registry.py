@@ -34,7 +34,7 @@ def tokenizer_path() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
+    out = bpe.round_trip(docs, tokenizer_path())
     return out.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -23,48 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from padlake.llm.memory import trimmed
+from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, range_of, sent, unpack
+
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, or one document; strings that are looked at together.
 SHARD_BYTES, PIECE = 6 << 20, 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
-_SYMBOLS = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
-    x[:1] = 1
-    return np.multiply.accumulate(x)
-
-
-class _Hashes:
-    """Polynomial hashes modulo 2**64 of any part of some bytes."""
-
-    _up, _down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def __init__(self, raw: np.ndarray):
-        if len(raw) + 1 > len(_Hashes._up):
-            n = max(len(raw) + 1, PIECE + 64 * LENGTH)
-            _Hashes._up, _Hashes._down = _powers(_BASE, n), _powers(_INVERSE, n)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_SYMBOLS[raw] * _Hashes._up[: len(raw)], out=self.sums[1:])
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return _mixed((self.sums[size:] - self.sums[:n]) * _Hashes._down[:n])
-
-    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * _Hashes._down[start] + (end - start).astype(np.uint64))
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
 def _least(v: np.ndarray, width: int) -> np.ndarray:
     """Of each run of ``width`` values."""
     done = 1
@@ -81,7 +46,7 @@ class _Piece:
     low..high, counted in the piece; ``gram`` is the anchor's hash, ``base`` where the piece's texts begin in themselves."""
 
     raw: np.ndarray
-    hashes: _Hashes
+    hashes: Hashes
     owner: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -110,7 +75,7 @@ def _piece(parts: list[tuple[int, int, bytes]], length: int) -> _Piece:
     raw = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
     sizes = np.array([len(p) for _, _, p in parts])
     ends = np.cumsum(sizes)
-    hashes = _Hashes(raw)
+    hashes = Hashes(raw)
     gram = min(GRAM, length)
     grams = hashes.grams(gram)
     keys = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
@@ -122,7 +87,7 @@ def _piece(parts: list[tuple[int, int, bytes]], length: int) -> _Piece:
     low, high = np.concatenate([[0], edge]), np.concatenate([edge - 1, [len(picked) - 1]])
     low, high = low[inside[low]], high[inside[low]]
     owner = np.searchsorted(ends, low, "right")
-    return _Piece(raw, hashes, owner, low, high, _mixed(grams[picked[low]] ^ np.uint64(_BASE)) >> np.uint64(16), ends - sizes, np.array([k for k, _, _ in parts]), np.array([a for _, a, _ in parts]))
+    return _Piece(raw, hashes, owner, low, high, mixed(grams[picked[low]] ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), ends - sizes, np.array([k for k, _, _ in parts]), np.array([a for _, a, _ in parts]))
 
 
 # Larsson and Sadakane's order, Kasai's common prefixes
@@ -230,14 +195,6 @@ def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [r[2] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([not r[0] for r in rows], bool)
 
 
-def _blob(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
-
-
-def _range_of(gram: np.ndarray, ranges: int) -> np.ndarray:
-    return ((gram >> np.uint64(16)).astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
 def _send_anchors(length: int, ranges: int):
     def send(key: tuple, table: pa.Table) -> pa.Table:
         texts, doc, numbered = _texts(table)
@@ -249,43 +206,17 @@ def _send_anchors(length: int, ranges: int):
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (doc[o[1:]] != doc[o[:-1]])
             found.append(g[new])
-        grams, counts = np.unique(np.concatenate(found), return_counts=True)
-        r = _range_of(grams, ranges)
-        edge = np.searchsorted(r, np.arange(ranges + 1))
-        rows = [k for k in range(ranges) if edge[k] < edge[k + 1]]
-        return pa.table({
-            "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "range": pa.array(rows, pa.int32()),
-            "grams": pa.array([_blob(grams[edge[k] : edge[k + 1]].view(np.uint8).reshape(-1, 8)[:, :6]) for k in rows], pa.binary()),
-            "counts": pa.array([_blob(np.minimum(counts[edge[k] : edge[k + 1]], 255).astype(np.uint8)) for k in rows], pa.binary()),
-        })
+        return sent(key[0].as_py(), np.concatenate(found), ranges)
 
     return send
 
 
-def _six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-def _find_repeated(key: tuple, table: pa.Table) -> pa.Table:
-    shards, parts = table["shard"].to_pylist(), [_six(b) for b in table["grams"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(b, np.uint8) for b in table["counts"].to_pylist()]).astype(np.int64)
-    every, where = np.unique(np.concatenate(parts), return_inverse=True)
-    often = np.bincount(where, counts)[where] > 1
-    ends = np.cumsum([0, *map(len, parts)])
-    kept = [p[often[a:b]] for p, a, b in zip(parts, ends, ends[1:])]
-    some = [k for k, p in enumerate(kept) if len(p)]
-    return pa.table({"shard": pa.array([shards[k] for k in some], pa.int32()), "grams": pa.array([_blob(kept[k].view(np.uint8).reshape(-1, 8)[:, :6]) for k in some], pa.binary())})
-
-
 _CONTEXTS = "shard int, range int, bodies binary, sizes binary, grams binary, hashes binary, least binary, most binary"
 
 
 def _send_contexts(length: int, ranges: int):
     def send(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
-        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_six(b) for b in repeated["grams"].to_pylist())]))
+        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(b) for b in repeated["grams"].to_pylist())]))
         texts, doc, numbered = _texts(table) if len(often) else ([], np.zeros(0, np.int64), np.zeros(0, bool))
         texts = [t if ok else b"" for t, ok in zip(texts, numbered)]
         hashes, grams, owners, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
@@ -309,7 +240,7 @@ def _send_contexts(length: int, ranges: int):
         least, most, h, g = o[first], o[np.concatenate([first[1:], [len(o)]]) - 1] if len(first) else o[first], h[first], g[first]
         bodies = [b for _, b in sorted(bodies)]
         order = np.lexsort((h, g))
-        r = _range_of(g[order], ranges)
+        r = range_of(g[order], ranges)
         edge = np.searchsorted(r, np.arange(ranges + 1))
         rows = [k for k in range(ranges) if edge[k] < edge[k + 1]]
         some = [order[edge[k] : edge[k + 1]] for k in rows]
@@ -317,8 +248,8 @@ def _send_contexts(length: int, ranges: int):
             "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "range": pa.array(rows, pa.int32()),
             "bodies": pa.array([pa.compress(b"".join(bodies[i] for i in x.tolist()), "zstd", asbytes=True) for x in some], pa.binary()),
-            "sizes": pa.array([_blob(np.array([len(bodies[i]) for i in x.tolist()], np.uint16)) for x in some], pa.binary()),
-            **{name: pa.array([_blob(v[x]) for x in some], pa.binary()) for name, v in (("grams", g), ("hashes", h), ("least", least), ("most", most))},
+            "sizes": pa.array([blob(np.array([len(bodies[i]) for i in x.tolist()], np.uint16)) for x in some], pa.binary()),
+            **{name: pa.array([blob(v[x]) for x in some], pa.binary()) for name, v in (("grams", g), ("hashes", h), ("least", least), ("most", most))},
         })
 
     return send
@@ -371,10 +302,10 @@ def _answer(length: int):
         mine = [np.flatnonzero(shard[rows] == s) for s in to.tolist()]
         return pa.table({
             "shard": pa.array(to, pa.int32()),
-            "hashes": pa.array([_blob(hashes[rows[m]]) for m in mine], pa.binary()),
-            "low": pa.array([_blob(run_low[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
-            "high": pa.array([_blob(run_high[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
-            "least": pa.array([_blob(run_least[runs[m]]) for m in mine], pa.binary()),
+            "hashes": pa.array([blob(hashes[rows[m]]) for m in mine], pa.binary()),
+            "low": pa.array([blob(run_low[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
+            "high": pa.array([blob(run_high[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
+            "least": pa.array([blob(run_least[runs[m]]) for m in mine], pa.binary()),
         })
 
     return answer
@@ -438,9 +369,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     shards = max(1, -(-total // shard_bytes))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc", "text"), F.lit(shards)).cast("int"))
     dealt = docs.groupBy("shard")
-    anchors = dealt.applyInArrow(_send_anchors(length, shards), "shard int, range int, grams binary, counts binary")
-    repeated = anchors.groupBy("range").applyInArrow(_find_repeated, "shard int, grams binary")
-    contexts = dealt.cogroup(repeated.groupBy("shard")).applyInArrow(_send_contexts(length, shards), _CONTEXTS)
-    answers = contexts.groupBy("range").applyInArrow(_answer(length), "shard int, hashes binary, low binary, high binary, least binary")
-    done = dealt.cogroup(answers.groupBy("shard")).applyInArrow(_remove(length), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    anchors = dealt.applyInArrow(trimmed(_send_anchors(length, shards)), SENT)
+    repeated = anchors.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD).drop("counts")
+    contexts = dealt.cogroup(repeated.groupBy("shard")).applyInArrow(trimmed(_send_contexts(length, shards)), _CONTEXTS)
+    answers = contexts.groupBy("range").applyInArrow(trimmed(_answer(length)), "shard int, hashes binary, low binary, high binary, least binary")
+    done = dealt.cogroup(answers.groupBy("shard")).applyInArrow(trimmed(_remove(length)), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.withColumnRenamed("doc", key)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.labelled import training_rows
+from padlake.llm.memory import trim
 
 #: Label rows that the machine is fitted on, at most.
 SAMPLE = 8192
@@ -61,10 +62,12 @@ class Machine:
 
 def chosen(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The buckets whose presence tells the labels apart best, by the statistic of two shares."""
-    ids, where = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int32), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    df1, df0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, label in zip(rows, y):
+        (df1 if label > 0 else df0)[row] += 1
     n, n1 = len(rows), y.sum()
-    df, df1 = np.bincount(where, minlength=len(ids)), np.bincount(where, y[owner], len(ids))
+    ids = np.flatnonzero(df0 + df1).astype(np.int32)
+    df, df1 = (df0 + df1)[ids], df1[ids]
     share = df / max(n, 1)
     z = np.abs(df1 - n1 * share) / np.sqrt(np.maximum(n1 * share * (1 - share), 1e-9) + 0.5)
     z[df < 3] = 0
@@ -113,9 +116,11 @@ def _terms():
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", bound: int = SAMPLE) -> Machine:
     """The machine fitted on at most ``bound`` rows of ``labels`` that are ``learnable``; without rows of both labels, the share alone decides."""
-    rows = training_rows(docs, labels, label, learnable, bound, key, text).select(key, "label", _terms()("text").alias("x")).toPandas()
-    rows = rows.sort_values([key, "label"], kind="stable")
-    return fit([np.asarray(x, np.int32) for x in rows.x], rows.label.to_numpy(float))
+    rows = training_rows(docs, labels, label, learnable, bound, key, text).select(F.col(f"`{key}`").cast("long").alias("key"), "label", _terms()("text").alias("x")).toArrow()
+    y, x = rows["label"].to_numpy(), rows["x"].combine_chunks()
+    ends, values = x.offsets.to_numpy(), x.values.to_numpy()
+    order = np.lexsort((np.diff(ends), y, rows["key"].to_numpy()))
+    return fit([values[ends[k] : ends[k + 1]] for k in order.tolist()], y[order])
 
 
 class _Rows(dict):
@@ -141,5 +146,6 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
         for texts in batches:
             found = [sorted(set(chain.from_iterable(map(known.__getitem__, set(WORDS.findall((t or "").lower())))))) for t in texts.to_pylist()]
             yield pa.array(machine.score(found), pa.float64())
+            trim()
 
     return docs.withColumn(out, scored(F.col(f"`{text}`")))
