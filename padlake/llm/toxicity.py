@@ -103,9 +103,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Machine:
             s[k] = 0.99 * s[k] + 0.01 * g * g
             params[k] = params[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
     b, w, v = params
+    q = x @ v
+    b = b - _cut(b + x @ w + 0.5 * ((q**2).sum(1) - x @ (v**2).sum(1)), y)
     return Machine(float(b[0]), {int(t): k for k, t in enumerate(ids)}, w.astype(float), v.astype(float))
 
 
+def _cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Where between scores the fewest labels are wrong; of several such places a quarter up the widest gap, for clean texts are the more alike."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order].astype(float), y[order] > 0
+    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(~y)])[-1] - np.concatenate([[0], np.cumsum(~y)])
+    edge = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
+    gap = np.where(wrong == wrong.min(), edge[1:] - edge[:-1], -1)
+    k = int(gap.argmax())
+    return float(edge[k] + (edge[k + 1] - edge[k]) / 4)
+
+
 def _terms():
     @F.arrow_udf("array<int>")
     def found(texts: pa.Array) -> pa.Array:
