@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.memory import trimmed
-from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, range_of, sent, unpack
+from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, pack, range_of, sent, unpack
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, or one document; strings that are looked at together.
 SHARD_BYTES, PIECE = 6 << 20, 1 << 19
+#: An anchor that more documents have is hot: its strings are dealt one by one.
+HOT = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
 def _least(v: np.ndarray, width: int) -> np.ndarray:
     """Of each run of ``width`` values."""
@@ -90,6 +92,31 @@ def _piece(parts: list[tuple[int, int, bytes]], length: int) -> _Piece:
     return _Piece(raw, hashes, owner, low, high, mixed(grams[picked[low]] ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(16), ends - sizes, np.array([k for k, _, _ in parts]), np.array([a for _, a, _ in parts]))
 
 
+def _runs(p: _Piece, only: np.ndarray | None, hot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high, owner, gram, hash) of the runs ``only``, or all; a run of a hot anchor is taken apart into its strings.
+
+    Each string of a hot anchor has a gram of its own, so that the strings of a passage that many documents share,
+    and those across its ends, are dealt to many shards.
+    """
+    low, high, owner, gram = (x if only is None else x[only] for x in (p.low, p.high, p.owner, p.gram))
+    is_hot = _found(gram, hot)
+    if is_hot.any():
+        n = np.where(is_hot, high - low + 1, 1)
+        at = np.repeat(np.arange(len(low)), n)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        low, high = low[at] + step, np.where(is_hot[at], low[at] + step, high[at])
+        owner, gram, is_hot = owner[at], gram[at], is_hot[at]
+    h = p.hashes.parts(low, high + length)
+    if is_hot.any():
+        gram = np.where(is_hot, mixed(h ^ gram) >> np.uint64(16), gram)
+    return low, high, owner, gram, h
+
+
+def _found(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is in an ascending array."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
 # Larsson and Sadakane's order, Kasai's common prefixes
 
 
@@ -211,25 +238,27 @@ def _send_anchors(length: int, ranges: int):
     return send
 
 
-_CONTEXTS = "shard int, range int, bodies binary, sizes binary, grams binary, hashes binary, least binary, most binary"
+_CONTEXTS = "shard int, range int, hot binary, bodies binary, sizes binary, grams binary, hashes binary, least binary, most binary"
 
 
 def _send_contexts(length: int, ranges: int):
     def send(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
-        often = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(b) for b in repeated["grams"].to_pylist())]))
+        often = np.concatenate([np.zeros(0, np.uint64), *(unpack(b) for b in repeated["grams"].to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in repeated["counts"].to_pylist())])
+        hot = np.sort(often[counts > HOT])
+        often = np.sort(often)
         texts, doc, numbered = _texts(table) if len(often) else ([], np.zeros(0, np.int64), np.zeros(0, bool))
         texts = [t if ok else b"" for t, ok in zip(texts, numbered)]
         hashes, grams, owners, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         known: set[int] = set()
         for p in _pieces(texts, length):
-            at = np.flatnonzero(often[np.minimum(np.searchsorted(often, p.gram), len(often) - 1)] == p.gram)
-            end = p.high[at] + length
-            h = p.hashes.parts(p.low[at], end)
+            low, high, owner, gram, h = _runs(p, np.flatnonzero(_found(p.gram, often)), hot, length)
+            end = high + length
             hashes.append(h)
-            grams.append(p.gram[at])
-            owners.append(doc[p.texts[p.owner[at]]])
+            grams.append(gram)
+            owners.append(doc[p.texts[owner]])
             raw = p.raw.tobytes()
-            for x, a, b in zip(h.tolist(), p.low[at].tolist(), end.tolist()):
+            for x, a, b in zip(h.tolist(), low.tolist(), end.tolist()):
                 if x not in known:
                     known.add(x)
                     bodies.append((x, raw[a:b]))
@@ -247,6 +276,7 @@ def _send_contexts(length: int, ranges: int):
         return pa.table({
             "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "range": pa.array(rows, pa.int32()),
+            "hot": pa.array([pack(hot) if not k and len(hot) else b"" for k in range(len(rows))], pa.binary()),
             "bodies": pa.array([pa.compress(b"".join(bodies[i] for i in x.tolist()), "zstd", asbytes=True) for x in some], pa.binary()),
             "sizes": pa.array([blob(np.array([len(bodies[i]) for i in x.tolist()], np.uint16)) for x in some], pa.binary()),
             **{name: pa.array([blob(v[x]) for x in some], pa.binary()) for name, v in (("grams", g), ("hashes", h), ("least", least), ("most", most))},
@@ -269,8 +299,7 @@ def _answer(length: int):
         which = which.ravel()
         owner = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(owner, which, least)
-        gram, per_gram = grams[first], None
-        _, at, per_gram = np.unique(gram, return_inverse=True, return_counts=True)
+        _, at, per_gram = np.unique(grams[first], return_inverse=True, return_counts=True)
         several = np.flatnonzero(per_gram[at] > 1)
         found = smallest_owner([bodies[ends[i] - sizes[i] : ends[i]] for i in first[several].tolist()], owner[several], length)
         # Runs of strings of one context with the same smallest owner; a context whose gram no other has is one run.
@@ -298,10 +327,12 @@ def _answer(length: int):
         runs = np.arange(len(rows)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
         told = run_least[runs] < most[rows]
         rows, runs = rows[told], runs[told]
-        to = np.unique(shard[rows])
+        hot = {s: b for s, b in zip(table["shard"].to_pylist(), table["hot"].to_pylist()) if b}
+        to = np.unique(np.concatenate([shard[rows], np.array([*hot], np.int64)]))
         mine = [np.flatnonzero(shard[rows] == s) for s in to.tolist()]
         return pa.table({
             "shard": pa.array(to, pa.int32()),
+            "hot": pa.array([hot.get(s, b"") for s in to.tolist()], pa.binary()),
             "hashes": pa.array([blob(hashes[rows[m]]) for m in mine], pa.binary()),
             "low": pa.array([blob(run_low[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
             "high": pa.array([blob(run_high[runs[m]].astype(np.uint16)) for m in mine], pa.binary()),
@@ -318,18 +349,19 @@ def _remove(length: int):
         hashes, low, high, least = joined("hashes", np.uint64), joined("low", np.uint16).astype(np.int64), joined("high", np.uint16).astype(np.int64), joined("least", np.int64)
         order = np.argsort(hashes, kind="stable")
         hashes, low, high, least = hashes[order], low[order], high[order], least[order]
+        hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(unpack, answers["hot"].to_pylist())]))
         spans: dict[int, list[np.ndarray]] = {}
         for p in _pieces([t if ok else b"" for t, ok in zip(texts, numbered)], length) if len(hashes) else ():
-            h = p.hashes.parts(p.low, p.high + length)
+            first, _, owner, _, h = _runs(p, None, hot, length)
             a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             row = np.repeat(np.arange(len(h)), b - a)
             run = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-            part = p.owner[row]
+            part = owner[row]
             text = p.texts[part]
             gone = least[run] < doc[text]
             row, run, part, text = row[gone], run[gone], part[gone], text[gone]
             shift = p.base[part] - p.starts[part]
-            begin, end = p.low[row] + low[run] + shift, p.low[row] + high[run] + length + shift
+            begin, end = first[row] + low[run] + shift, first[row] + high[run] + length + shift
             edge = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else np.zeros(0, np.int64)
             for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(text)]):
                 spans.setdefault(int(text[i]), []).append(np.stack([begin[i:j], end[i:j]]))
@@ -370,8 +402,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc", "text"), F.lit(shards)).cast("int"))
     dealt = docs.groupBy("shard")
     anchors = dealt.applyInArrow(trimmed(_send_anchors(length, shards)), SENT)
-    repeated = anchors.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD).drop("counts")
+    repeated = anchors.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD)
     contexts = dealt.cogroup(repeated.groupBy("shard")).applyInArrow(trimmed(_send_contexts(length, shards)), _CONTEXTS)
-    answers = contexts.groupBy("range").applyInArrow(trimmed(_answer(length)), "shard int, hashes binary, low binary, high binary, least binary")
+    answers = contexts.groupBy("range").applyInArrow(trimmed(_answer(length)), "shard int, hot binary, hashes binary, low binary, high binary, least binary")
     done = dealt.cogroup(answers.groupBy("shard")).applyInArrow(trimmed(_remove(length)), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.withColumnRenamed("doc", key)

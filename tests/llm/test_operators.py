@@ -119,8 +119,9 @@ def test_suffix_order_and_prefixes():
             assert got[k] == min(want, 40)
 
 
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+@pytest.mark.parametrize("hot", [1 << 16, 6])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # goes to the workers with the function that uses it
     docs = near_copies(9, 25) + [(900, "abc " * 400), (901, "zabc " * 90), (902, "é" * 200), (903, "xé" + "é" * 120)]
     got = suffix_dedup.dedup(spark.createDataFrame(docs, SCHEMA), shard_bytes=3000).collect()
     made = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got}
@@ -128,6 +129,28 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     assert len(got) == len(docs)
 
 
+def test_every_string_has_one_anchor_that_its_copies_share(monkeypatch):
+    rng = np.random.default_rng(3)
+    shared = rng.integers(97, 100, 130).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 101, n).astype(np.uint8).tobytes() + shared * (n % 3) for n in (0, 10, 49, 50, 51, 700, 90, 333)]
+    for piece in (1 << 19, 60, 170):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        seen, gram = set(), {}
+        for hot in (np.zeros(0, np.uint64), np.sort(np.concatenate([p.gram for p in suffix_dedup._pieces(texts, 50)]))):
+            seen.clear()
+            for p in suffix_dedup._pieces(texts, 50):
+                low, high, owner, grams, hashes = suffix_dedup._runs(p, None, hot, 50)
+                for a, b, o, g in zip(low.tolist(), high.tolist(), owner.tolist(), grams.tolist()):
+                    for s in range(a, b + 1):
+                        at = (int(p.texts[o]), int(s - p.starts[o] + p.base[o]))
+                        assert at not in seen
+                        seen.add(at)
+                        w = texts[at[0]][at[1] : at[1] + 50]
+                        assert len(w) == 50 and w == p.raw[s : s + 50].tobytes()
+                        assert gram.setdefault((w, len(hot)), g) == g
+            assert len(seen) == sum(max(0, len(t) - 49) for t in texts)
+
+
 def test_suffix_dedup_edge_cases(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     t = prose(random.Random(0), 40)
