@@ -28,40 +28,47 @@ class Side:
     domain: int
 
 
-def align(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pair, start, end, a_part, b_part): the intersections of two interval lists that tile the same domain, in order.
+def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, start, end, a, b): the intersections in order; a and b are structs of the interval, its id, end and rows, of either side.
 
-    The refined intervals end where one of either list ends, so one sort of the ends gives them all: an interval
-    list is metadata, and no pair of intervals that don't meet is looked at.
+    The refined intervals end where one of either list ends, so one sort of the ends gives them all, in one task: an
+    interval list is metadata, and no pair of intervals that don't meet is looked at.
     """
-    ends = a.select("end", F.col("part_id").alias("a_part"), F.lit(None).cast("long").alias("b_part")).union(b.select("end", F.lit(None).cast("long"), F.col("part_id")))
-    ends = ends.groupBy("end").agg(F.max("a_part").alias("a_part"), F.max("b_part").alias("b_part"))
+    rows = lambda x: F.coalesce(F.col("n_real") + F.col("n_dummy"), F.lit(0)) if "n_real" in x.columns else F.lit(0).cast("long")
+    own = lambda x: F.struct(F.col("part_id").alias("part"), F.col("end").alias("end"), rows(x).alias("rows"))
+    none = F.lit(None).cast("struct<part:bigint,end:bigint,rows:bigint>")
+    ends = a.select("end", own(a).alias("a"), none.alias("b")).union(b.select("end", none, own(b)))
+    ends = ends.groupBy("end").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     order = Window.orderBy("end")
     ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return ends.select(
         (F.row_number().over(order) - 1).cast("long").alias("pair"),
         (F.coalesce(F.lag("end").over(order), F.lit(0)) + 1).cast("long").alias("start"),
         "end",
-        F.min("a_part").over(ahead).alias("a_part"),
-        F.min("b_part").over(ahead).alias("b_part"),
+        F.min("a").over(ahead).alias("a"),
+        F.min("b").over(ahead).alias("b"),
     )
 
 
+def align(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, start, end, a_part, b_part): the intersections of two interval lists that tile the same domain, in order."""
+    return _aligned(a, b).select("pair", "start", "end", F.col("a.part").alias("a_part"), F.col("b.part").alias("b_part"))
+
+
 def pairs(a: DataFrame, b: DataFrame, merge: int) -> DataFrame:
     """Aligned intervals with the rows of both buckets, dummies included, the batch, and what a batch has met of each side.
 
     A batch counts the rows of a side's bucket when the sweep comes to it. After a batch a side starts anew only if it
     moves on to another bucket; else it keeps all it has counted.
     """
-    size = lambda x, name: x.select(F.col("part_id").alias(f"{name}_part"), F.col("end").alias(f"{name}_end"), (F.col("n_real") + F.col("n_dummy")).alias(f"{name}_rows"))
-    p = align(a, b).join(size(a, "a"), "a_part").join(size(b, "b"), "b_part")
+    p = _aligned(a, b).select("pair", "start", "end", *[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in ("part", "end", "rows")])
     order = Window.orderBy("pair")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("pair").over(Window.partitionBy())
-    p = p.withColumn("batch", F.floor(F.col("pair") / merge).cast("long")).withColumn("emits", (F.col("pair") % merge == merge - 1) | (F.col("pair") == last))
+    last = F.lead("pair").over(order).isNull()
+    p = p.withColumn("batch", F.floor(F.col("pair") / merge).cast("long")).withColumn("emits", (F.col("pair") % merge == merge - 1) | last)
+    p = p.withColumns({f"{s}_adds": F.col(f"{s}_part") != F.coalesce(F.lag(f"{s}_part").over(order), F.lit(-1)) for s in "ab"})
+    p = p.withColumns({f"{s}_group": F.coalesce(F.sum((F.col("emits") & (F.col("end") == F.col(f"{s}_end"))).cast("long")).over(before), F.lit(0)) for s in "ab"})
     for s in "ab":
-        p = p.withColumn(f"{s}_adds", F.col(f"{s}_part") != F.coalesce(F.lag(f"{s}_part").over(order), F.lit(-1)))
-        p = p.withColumn(f"{s}_group", F.coalesce(F.sum((F.col("emits") & (F.col("end") == F.col(f"{s}_end"))).cast("long")).over(before), F.lit(0)))
         p = p.withColumn(f"{s}_met", F.sum(F.when(F.col(f"{s}_adds"), F.col(f"{s}_rows")).otherwise(0)).over(Window.partitionBy(f"{s}_group").orderBy("pair")))
     return p.select("pair", "start", "end", "a_part", "b_part", "a_rows", "b_rows", "batch", "emits", "a_met", "b_met")
 
