@@ -336,7 +336,9 @@ def _verify(percent: int):
 def _linked(members: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the members (node, elements, entries) that are linked with another."""
     listed = members.select("node", F.explode("entries").alias("entry"))
+    # Small tables by a key that may be hot are written, so that their joins deal both sides and can split such a key's rows.
     first = listed.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("entry", "first")
+    first = saved(first)
     stars = saved(listed.join(first, "entry").where(F.col("node") != F.col("first")).select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
     families = saved(components(stars).withColumnRenamed("component", "family"))
     # Each set against the smallest of each of its lists: most of a family is one component from then on.
@@ -348,7 +350,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     # What isn't in a family's largest component is joined with all of the family.
     parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     core = parts.groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("c"), F.sum("n").alias("total"), F.sum("size").alias("size"), F.count("*").alias("parts"))
-    core = core.where("parts > 1").select("family", F.col("c.component").alias("core"), F.col("c.n").alias("cored"), "total", "size")
+    core = saved(core.where("parts > 1")).select("family", F.col("c.component").alias("core"), F.col("c.n").alias("cored"), "total", "size")
     each = F.greatest(F.lit(1), F.least(F.lit(FAMILY_ROWS), F.floor(F.lit(FAMILY_ELEMENTS) * F.col("total") / F.col("size"))))
     core = core.withColumn("rest_blocks", F.ceil((F.col("total") - F.col("cored")) / each).cast("long")).withColumn("core_blocks", F.ceil(F.col("cored") / each).cast("long"))
     rows = rows.join(core.select("family", "core", "rest_blocks", "core_blocks"), "family")

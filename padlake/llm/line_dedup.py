@@ -67,9 +67,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     # The bytes of those chunks alone are looked at.
     body = docs.select("doc", "row", F.explode(F.transform(several, lambda k: F.struct(k.alias("chunk"), _chunk_text(k).alias("body")))).alias("c")).select("doc", "row", "c.chunk", "c.body")
     body = body.where(F.length(F.replace("body", F.lit("\n"), F.lit(""))) > 0).withColumn("hash", F.md5(F.col("body").cast("binary")))
-    body = body.join(often, "hash", "left_semi")
+    # One key more than that of the aggregation, so that the join deals both sides itself and can split a chunk that is everywhere.
+    part = F.substring("hash", 1, 4).alias("part")
+    body = body.select("*", part).join(often.select("hash", part), ["hash", "part"], "left_semi").drop("part")
     first = body.groupBy("hash", "body").agg(F.min(F.struct("doc", "row", "chunk")).alias("first"))
-    again = body.join(first, ["hash", "body"]).where(F.struct("doc", "row", "chunk") != F.col("first"))
+    size = F.length("body").alias("size")
+    again = body.select("*", size).join(first.select("*", size), ["hash", "body", "size"]).where(F.struct("doc", "row", "chunk") != F.col("first"))
     gone = again.groupBy("doc", "row").agg(F.collect_set("chunk").alias("gone"))
 
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
