@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that no lineage is left; its own folder only where none is set."""
+    """The rows, written to the shared checkpoint folder, so that no lineage is left. Where none is set, a folder of its own: on one machine a temporary one."""
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "checkpoints")
+        own = tempfile.mkdtemp() if context.master == "local" or context.master.startswith("local[") else "checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint()
 
 
