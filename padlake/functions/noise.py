@@ -86,6 +86,9 @@ class ShiftedGeometric:
     def two_sided_value(self, u: float, v: float) -> int:
         return math.ceil(-math.log(u) * float(self.sens) / self.eps) - math.ceil(-math.log(v) * float(self.sens) / self.eps)
 
+    def noise_value(self, u: float, v: float) -> int:
+        return min(max(self.shift + self.two_sided_value(u, v), 0), self.upper)
+
     def two_sided_sql(self, u: str, v: str) -> str:
         return two_sided_sql(u, v, repr(float(self.sens)), self.eps)
 

@@ -12,6 +12,7 @@ from padlake.functions.metadata import PRESETS, JoinMeta
 from padlake.functions.noise import Keyed, ShiftedGeometric
 from padlake.operators import bucket, frequency, interval_join, partition
 from padlake.operators.interval_join import Side
+from padlake.operators.tables import join_tables
 from padlake.plans.inputs import DOMAIN, freq, freq_sql, freqs, rows
 from padlake.plans.private_queries import named
 from padlake.plans.routes import Route, Run
@@ -190,7 +191,7 @@ def _count_route(preset: str, kind: str) -> Route:
     return Route(preset, kind, budget if budget.meta_share else replace(budget, meta_share=0.2, shares=4), merges, DOMAIN)
 
 
-_COUNTS = {"count_join_2way": (_count_route("count_two_way", "pipelined"), ("urgent", "trans")), "count_join_3way": (_count_route("count_three_way", "pipelined"), ("urgent", "trans", "account"))}
+_COUNTS = {"count_join_3way_again": (_count_route("count_three_way", "repartitioned"), ("urgent", "trans", "account")), **{"count_join_2way": (_count_route("count_two_way", "pipelined"), ("urgent", "trans")), "count_join_3way": (_count_route("count_three_way", "pipelined"), ("urgent", "trans", "account"))}}
 for _name, (_r, _tables) in _COUNTS.items():
     _route_query(_name, _r, _tables)
 
@@ -250,6 +251,16 @@ for _how in ("inner", "left", "right", "full"):
     _join_query(_how)
 
 
+@query("""SELECT coalesce(a.key, b.key) AS key, a.id, a.tag AS tag_x, b.tag AS tag_y FROM
+    (SELECT CASE WHEN c_nationkey > 2 THEN c_nationkey END AS key, c_custkey AS id, c_mktsegment AS tag FROM customer WHERE c_mktsegment = 'BUILDING') a
+    FULL JOIN (SELECT CASE WHEN n_nationkey > 1 THEN n_nationkey END AS key, n_name AS tag FROM nation) b ON a.key IS NOT DISTINCT FROM b.key""")
+def join_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full join in which null keys match each other."""
+    left = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") > 2, F.col("c_nationkey")).alias("key"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("tag"))
+    right = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") > 1, F.col("n_nationkey")).alias("key"), F.col("n_name").alias("tag"))
+    return join_tables(left, right, "key", {"tag": "BUILDING"}, how="full", null_keys_match=True)
+
+
 @query(f"SELECT a.key, a.id, b.tag, b.n_regionkey FROM {_LEFT} JOIN {_RIGHT} ON a.key = b.key")
 def join_right_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a column that both sides have, the right one stays."""

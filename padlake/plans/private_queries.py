@@ -11,6 +11,7 @@ from padlake.functions.metadata import JoinMeta, meta_sql
 from padlake.functions.noise import BoundedLaplace, Keyed, Laplace, ShiftedGeometric
 from padlake.operators import bucket, frequency, partition
 from padlake.operators.partition import PrivateScan
+from padlake.operators.tables import Table
 from padlake.plans.inputs import DOMAIN, freq, freq_sql, freqs, rows
 from padlake.sources.tables import table
 
@@ -113,6 +114,26 @@ def meta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(1, x.join(y).a, x.join(y).b), (2, x.join(y).join(z).a, x.join(y).join(z).b)], "step int, a long, b long")
 
 
+_TABLE_NOISE = ShiftedGeometric(0.2, 1e-5, 2)
+
+
+@query("WITH " + freq_sql(*_METAS) + " " + " UNION ALL ".join(
+    f"SELECT '{t}' AS name, max(freq)::BIGINT AS true_max, (max(freq) + {_TABLE_NOISE.noise_sql(*(SOURCE.sql(chr(39) + 'table' + chr(39), chr(39) + t + chr(39), chr(39) + x + chr(39)) for x in 'uv'))})::BIGINT AS noisy_max FROM {t}_freq" for t in _METAS))
+def table_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest frequencies of tables, true and private."""
+    tables = [Table(t, rows(spark, sf_dir, t), DOMAIN, 2) for t in _METAS]
+    return spark.createDataFrame([(t.name, t.true_max_freq(), t.noisy_max_freq(0.2, 1e-5, SOURCE)) for t in tables], "name string, true_max long, noisy_max long")
+
+
+@query(f"""SELECT {meta_sql('m', 0.1, 1e-6, SOURCE, 'bridge')} AS a, 1::BIGINT AS b FROM (SELECT greatest(
+    (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)), (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)))::BIGINT AS m)""")
+def noisy_meta_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noisy frequency bound of a table that joins on two keys, one draw for both."""
+    most = frequency.multi_key_max_freq(table(spark, sf_dir, "orders"), [F.col("o_custkey"), F.col("o_orderkey")]).first().max_freq
+    m = JoinMeta.of_frequency(most, 0.1, 1e-6, SOURCE, "bridge")
+    return spark.createDataFrame([(m.a, m.b)], "a long, b long")
+
+
 def named(parts: DataFrame) -> DataFrame:
     """Interval ends under names that are no keywords."""
     return parts.withColumnsRenamed({"start": "lo", "end": "hi"})

@@ -16,3 +16,9 @@ def report(name: str, summary: DataFrame) -> str:
     r = summary.first()
     ratio = "-" if r.ratio is None else f"{r.ratio:.2f}x"
     return f"{name}: {r.n_buckets} buckets, {r.n_empty} empty, {r.n_real} real rows, {r.n_dummy} dummies, {ratio}"
+
+
+def join_report(name: str, summary: DataFrame, rows: DataFrame) -> str:
+    """As report, with the first real row that comes."""
+    sample = rows.limit(1).collect()
+    return f"{report(name, summary)}; sample: {sample[0].asDict() if sample else 'none'}"

@@ -12,6 +12,7 @@ from padlake.functions.metadata import PRESETS, Budget, JoinMeta
 from padlake.functions.noise import BoundedLaplace, Keyed, Laplace, ShiftedGeometric, geometric_steps, secure_uniforms
 from padlake.operators import bucket, frequency, interval_join, partition, profile, synopsis
 from padlake.operators.partition import PrivateScan, format_splits
+from padlake.operators.tables import Table, join_tables
 from padlake.plans import registry
 from padlake.sources import csv, generators, sinks
 
@@ -233,9 +234,21 @@ def test_csv_and_sinks(spark, tmp_path):
     events = frame(spark, [("join1", "pairs", 12), ("join1", "sort", 15)], "stage string, kind string, size long")
     sinks.write_cost_log(events, str(tmp_path / "log"))
     assert sorted(spark.read.text(str(tmp_path / "log")).toPandas().value) == ["join1\tpairs\t12", "join1\tsort\t15"]
+    assert sinks.join_report("t", bucket.summary(_buckets(spark, (1, 5))), events).endswith("'size': 12}")
     assert "1 buckets" in sinks.report("t", bucket.summary(_buckets(spark, (1, 5))))
 
 
+def test_tables_and_plain_joins(spark):
+    t = Table("t", frame(spark, [(k,) for k in (1, 1, 1, 2, 2, 3, 4, 5, 5)], "key long"), 5, 2)
+    assert t.true_max_freq() == 3
+    assert 3 <= t.noisy_max_freq(1.0, 1e-3, Keyed()) <= 3 + ShiftedGeometric(1.0, 1e-3, 2).upper
+    assert Table("e", t.rows.limit(0), 5).true_max_freq() == 0
+    a, b = frame(spark, [(1, "x"), (None, "y")], "k int, v string"), frame(spark, [(1, "z"), (None, "w")], "k int, v string")
+    assert join_tables(a, b, "k").collect() == [(1, "x", "z")]
+    assert join_tables(a, b, "k", null_keys_match=True).count() == 2
+    assert join_tables(a, b, "k", {"v": "none"}, how="right").count() == 2
+
+
 def test_multi_key_frequency(spark):
     df = frame(spark, [(1, 5), (1, 6), (2, 5), (3, 5)], "a long, b long")
     assert frequency.multi_key_max_freq(df, [F.col("a"), F.col("b")]).first().max_freq == 3
