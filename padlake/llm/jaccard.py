@@ -32,8 +32,8 @@ SHARD_BYTES, PIECE = 6 << 20, 1 << 19
 SPREAD, SPARE = 1.5, 0.34
 #: What an entry of a list costs against a subset, for it has to be verified.
 LIST_COST = 8
-#: Sets, and their elements, that one side of a block of a family has at most or so; families that share a task.
-FAMILY_ROWS, FAMILY_ELEMENTS, BINS_ROWS = 512, 1 << 18, 2000
+#: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
+FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -365,7 +365,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     meets = F.when(in_core, as_right).otherwise(F.concat(as_left, as_right))
     dealt = rows.select("family", "node", "component", "elements", F.explode(meets).alias("m")).select("family", "m.p", "m.q", "m.side", "node", "component", "elements")
     # Small families share a task; a block of a large one is on its own or nearly so.
-    bins = F.lit(max(1, math.ceil(families.count() / BINS_ROWS)))
+    bins = F.lit(max(1, math.ceil((core.agg(F.sum("size")).first()[0] or 0) / BIN_ELEMENTS)))
     dealt = dealt.withColumn("bin", F.when((F.col("p") == 0) & (F.col("q") <= 1), F.pmod(F.xxhash64("family"), bins)).otherwise(F.xxhash64("family", "p", "q")))
     more = dealt.groupBy("bin").applyInArrow(trimmed(_join(percent)), "x long, y long")
     return components(known.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more))
