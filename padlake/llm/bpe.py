@@ -78,8 +78,7 @@ class Transducer(dict):
         self.bytes_of: dict[int, bytes] = {k: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, k in (vocab | self.special).items()}
         self.width = {k: len(b) for k, b in self.bytes_of.items()}
         self.cut = regex.compile(PIECES).findall
-        self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).splititer if self.special else None
-        self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).findall if self.special else None
+        self.added = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -171,8 +170,8 @@ class Transducer(dict):
         """The ids of a text as int32 bytes; the strings of added tokens are those tokens."""
         if not self.special or not any(s in text for s in self.special):
             return self.plain(text)
-        found = [*self.specials(text), None]
-        return b"".join(self.plain(part) + (np.int32(self.special[s]).tobytes() if s else b"") for part, s in zip(self.split(text), found))
+        found = [*self.added.findall(text), None]
+        return b"".join(self.plain(part) + (np.int32(self.special[s]).tobytes() if s else b"") for part, s in zip(self.added.splititer(text), found))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the bytes of a block of tokens go through a UTF-8 state machine, which holds at most an unfinished character."""
