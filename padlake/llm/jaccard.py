@@ -410,3 +410,22 @@ def _prints_of_nulls(n: int):
         return pa.table({"doc": pa.array([None] * len(sets), pa.int64()), "size": pa.array([len(s) for s in sets], pa.int64())})
 
     return find
+
+
+def oracle(table: str = "documents", n: int = 3, percent: int = 90) -> str:
+    """DuckDB SQL for doc_id, n_shingles, component_id of a table of unique ids; it compares all pairs that share a shingle."""
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + {n - 1}], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= {percent} * (a.size + b.size - common)),
+    either AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, e.y FROM reached r JOIN either e ON r.y = e.x)
+    SELECT d.doc_id, coalesce(any_value(s.size), 0)::BIGINT AS n_shingles, coalesce(min(r.y), d.doc_id)::BIGINT AS component_id
+    FROM {table} d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reached r ON r.x = d.doc_id GROUP BY d.doc_id"""

@@ -125,7 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference": op9_preference,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op9_preference": preference.oracle(), "op10_line_dedup": line_dedup.oracle()}
+ORACLE: dict[str, str] = {"op5_jaccard": jaccard.oracle(), "op7_suffix_dedup": suffix_dedup.oracle(), "op9_preference": preference.oracle(), "op10_line_dedup": line_dedup.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -407,3 +407,24 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     answers = contexts.groupBy("range").applyInArrow(trimmed(_answer(length)), "shard int, hot binary, hashes binary, low binary, high binary, least binary")
     done = dealt.cogroup(answers.groupBy("shard")).applyInArrow(trimmed(_remove(length)), "doc long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return done.withColumnRenamed("doc", key)
+
+
+def oracle(table: str = "documents", length: int = LENGTH) -> str:
+    """DuckDB SQL for doc_id, n_bytes, n_removed, n_spans, kept_sha256 of a table of unique ids; it groups all strings."""
+    return f"""
+    WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM {table}),
+    strings AS (
+        SELECT doc_id, i, substr(hx, 2 * i + 1, {2 * length}) AS w
+        FROM (SELECT doc_id, hx, unnest(range(greatest(length(hx) // 2 - {length - 1}, 0))) AS i FROM docs)),
+    first AS (SELECT w, min(doc_id) AS d FROM strings GROUP BY w),
+    again AS (SELECT s.doc_id, s.i FROM strings s JOIN first f ON s.w = f.w WHERE f.d < s.doc_id),
+    marked AS (SELECT doc_id, i, (coalesce(i - lag(i) OVER w, {length + 1}) > {length})::INT AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY doc_id, run),
+    around AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+    parts AS (
+        SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS last
+        FROM around s JOIN docs d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+    SELECT d.doc_id, (length(hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(hx, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM docs d LEFT JOIN parts p ON p.doc_id = d.doc_id"""
