@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges of a task.
+ROWS = 500_000
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder, so that no lineage is left. Where none is set, a folder of its own: on one machine a temporary one."""
     spark: SparkSession = df.sparkSession
@@ -27,13 +31,14 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     now = saved(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
     before = None
+    # One key more than that of the aggregation, so that the join deals both sides itself and can split the rows of a
+    # node of high degree; after it, nodes have few smaller neighbours.
+    part = F.xxhash64("u").alias("part")
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written, so that the join deals both sides itself and can split the rows of a node of high degree.
-        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = saved(large)
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", part, F.least("u", "m").alias("m"))
+        large = both.select("*", part).join(least, ["u", "part"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         # A forest of stars is where every node has one smaller neighbour that has none itself.
@@ -41,6 +46,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if before == state:
             break
         before = state
+        now = now.coalesce(state.n // ROWS + 1)
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))

@@ -336,10 +336,10 @@ def _verify(percent: int):
 def _linked(members: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the members (node, elements, entries) that are linked with another."""
     listed = members.select("node", F.explode("entries").alias("entry"))
-    # Small tables by a key that may be hot are written, so that their joins deal both sides and can split such a key's rows.
-    first = listed.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("entry", "first")
-    first = saved(first)
-    stars = saved(listed.join(first, "entry").where(F.col("node") != F.col("first")).select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
+    # One key more than that of the aggregation, so that the join deals both sides itself and can split an entry that is everywhere.
+    part = F.xxhash64("entry").alias("part")
+    first = listed.groupBy("entry").agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") != F.col("last")).select("entry", part, "first")
+    stars = saved(listed.select("*", part).join(first, ["entry", "part"]).where(F.col("node") != F.col("first")).select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
     families = saved(components(stars).withColumnRenamed("component", "family"))
     # Each set against the smallest of each of its lists: most of a family is one component from then on.
     sets = members.select("node", "elements")

@@ -127,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "q
     """The forest fitted on at most ``bound`` rows of ``labels`` that are ``learnable``; without rows of both labels, the share alone decides."""
     rows = training_rows(docs, labels, label, learnable, bound, key, text).select("label", _statistics()("text").alias("x")).toPandas()
     rows = rows.assign(order=[tuple(v) for v in rows.x]).sort_values(["order", "label"]) if len(rows) else rows
-    return fit(np.array(rows.x.tolist(), dtype=float), rows.label.to_numpy(float))
+    forest = fit(np.array(rows.x.tolist(), dtype=float), rows.label.to_numpy(float))
+    trim()
+    return forest
 
 
 def score(docs: DataFrame, forest: Forest, text: str = "text", out: str = "score") -> DataFrame:

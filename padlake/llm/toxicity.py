@@ -133,7 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "t
     y, x = rows["label"].to_numpy(), rows["x"].combine_chunks()
     ends, values = x.offsets.to_numpy(), x.values.to_numpy()
     order = np.lexsort((np.diff(ends), y, rows["key"].to_numpy()))
-    return fit([values[ends[k] : ends[k + 1]] for k in order.tolist()], y[order])
+    machine = fit([values[ends[k] : ends[k + 1]] for k in order.tolist()], y[order])
+    trim()
+    return machine
 
 
 class _Rows(dict):
