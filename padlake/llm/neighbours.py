@@ -2,7 +2,8 @@
 
 A vector is coded as a sum of one word from each of several full-dimensional codebooks, found by beam search. A query
 makes one table of products with all words; the score of a coded vector is a sum of table entries and its stored norm.
-The best by that score are ranked again by the exact cosine.
+The best by that score are ranked by the exact cosine, and so is every other vector whose cosine may reach theirs: its
+angle to the query differs from that of its code by the angle between the two at most. So the result is exact.
 """
 
 from __future__ import annotations
@@ -22,16 +23,12 @@ SAMPLE = 16384
 CODEBOOKS, WORDS, BEAM, ROUNDS, SEED = 20, 256, 6, 2, 3
 #: Of the least squares: how strongly words stay as they are, and how often each is looked at in a round.
 RIDGE, SWEEPS = np.float32(0.5), 6
-#: Candidates of a query that are ranked by the exact cosine.
+#: Candidates of a query in a block whose exact cosines set the bar; whatever the bound doesn't put below it is ranked too.
 RERANKED = 200
 #: Coded vectors and queries that meet in one task at a time.
 ROWS, QUERIES = 8192, 1024
 
 
-def norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, v): vectors as doubles, without those that are null, empty or zero or hold a null, infinite or undefined number, and null keys."""
     v = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
@@ -122,7 +119,7 @@ def _codes(books: Codebooks):
 
 
 def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
-    """(key, code, size): every vector's code and the squared norm of what it stands for."""
+    """(key, v, code, size, own): every vector, its code, the squared norm of what that stands for and the cosine between the two."""
     coded = vectors.withColumn("code", _codes(books)("v"))
 
     @F.arrow_udf("float")
@@ -130,35 +127,80 @@ def index(vectors: DataFrame, books: Codebooks) -> DataFrame:
         c = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, len(books.words))
         return pa.array((books.decode(c) ** 2).sum(1) if len(c) else np.zeros(0, np.float32), pa.float32())
 
-    return coded.select("key", "code", size("code").alias("size"))
+    @F.arrow_udf("double")
+    def own(vectors: pa.Array, codes: pa.Array) -> pa.Array:
+        if not len(codes):
+            return pa.array([], pa.float64())
+        y = books.decode(np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)).astype(float)
+        x = scaled(np.stack(vectors.to_numpy(zero_copy_only=False)))
+        size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        return pa.array(np.clip((x * y).sum(1) / np.where(size > 0, size, 1), -1, 1), pa.float64())
+
+    return coded.select("key", "v", "code", size("code").alias("size"), own("v", "code").alias("own"))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square overflows or vanishes and cosines keep every bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
-def share(reranked: int, blocks: int) -> int:
-    """Of the best ``reranked``, how many one of so many blocks may have: rows are dealt by hash, so that more are six deviations away."""
-    mean = reranked / max(blocks, 1)
-    return min(reranked, math.ceil(mean + 6 * math.sqrt(mean)) + 4)
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` with ``q``, both scaled; summed from left to right, so that equal rows have equal ones."""
+    sums = lambda y: np.cumsum(y, 1)[:, -1]
+    return sums(x * q) / (np.sqrt(sums(q[None] ** 2)) * np.sqrt(sums(x**2)))
+
+
+def highest(near: np.ndarray, size: np.ndarray, own: np.ndarray, slack: float) -> np.ndarray:
+    """What the cosine of a vector with a query can be at most: ``near`` is 2 <q, y> - |y|^2 for its code y, ``size`` |y|^2, ``own`` the cosine of vector and y.
+
+    Angles obey the triangle inequality. ``slack`` is the error of <q, y>.
+    """
+    length = np.sqrt(np.maximum(size, 1e-12))
+    at, off = (near + size) / 2 / length, slack / length
+    # The cosine to y that is nearest to the vector's own, within the error.
+    at = np.clip(np.clip(own, at - off, at + off), -1, 1)
+    return at * own + np.sqrt((1 - at**2) * (1 - own**2)) + 1e-6
+
 
+def _scan(books: Codebooks, k: int, reranked: int):
+    # Of sums of float32 products: those of a table's entries, of the entries, and of the stored norm.
+    slack = (books.words.shape[2] + len(books.words) + 16) * 2.0**-23 * (1 + float(np.sqrt((books.words.astype(float) ** 2).sum(2).max(1)).sum())) ** 2
 
-def _scan(books: Codebooks, most: int):
     def scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "near": np.zeros(0, np.float32)})
+        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
         if queries.empty or rows.empty:
             return empty
         rows = rows.sort_values("key", kind="stable")
-        keys, size = rows.key.to_numpy(), rows["size"].to_numpy(np.float32)
+        keys, size, own = rows.key.to_numpy(), rows["size"].to_numpy(np.float32), rows.own.to_numpy()
         codes = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1)
+        x = scaled(np.stack(rows.v.to_numpy()))
+        inverse = 1 / np.linalg.norm(x, axis=1)
+        # Rows that repeat an id may all be among the best.
+        several = k * int(np.unique(keys, return_counts=True)[1].max())
         out = []
         for q, v in zip(queries["key"], queries["v"]):
-            table = books.words @ unit(np.asarray(v, float)[None])[0]
+            v = np.asarray(v, float)[None]
+            table = books.words @ unit(v)[0]
             near = 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1])) - size
-            near[keys == q] = -np.inf
-            n = min(most, len(near))
-            # All that tie with the last are looked at, so that the smaller keys stay.
-            least = np.partition(near, len(near) - n)[len(near) - n]
-            best = np.flatnonzero(near >= least)
-            best = best[np.lexsort((keys[best], -near[best]))][:n]
-            best = best[near[best] > -np.inf]
-            out.append(pd.DataFrame({"query": q, "key": keys[best], "near": near[best]}))
+            v = scaled(v)[0]
+            direction = v / np.linalg.norm(v)
+            others = np.flatnonzero(keys != q)
+            if not len(others):
+                continue
+            first = min(max(reranked, several), len(others))
+            best = others[np.argpartition(near[others], len(others) - first)[len(others) - first :]]
+            bar = -2.0
+            if several <= first:
+                bar = np.partition((x[best] @ direction) * inverse[best], first - several)[first - several] - 1e-9
+            best = others[highest(near[others].astype(float), size[others].astype(float), own[others], slack) >= bar]
+            about = (x[best] @ direction) * inverse[best]
+            best = best[about >= bar]
+            score = cosines(x[best], v)
+            # Each id once, at its best score.
+            order = np.lexsort((-score, keys[best]))
+            order = order[np.concatenate([[True], np.diff(keys[best][order]) != 0])]
+            order = order[np.lexsort((keys[best][order], -score[order]))][:k]
+            out.append(pd.DataFrame({"query": q, "key": keys[best][order], "score": score[order]}))
         return pd.concat(out) if out else empty
 
     return scan
@@ -173,7 +215,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     those of the original vectors, in double precision.
 
     The coded rows and the queries meet block by block: blocks hold about ROWS and QUERIES, whatever the table's size
-    and the values in it, and each sends on its share of the ``reranked`` candidates of a query.
+    and the values in it, and each sends on the k nearest that it has. In a block the exact cosines of the ``reranked``
+    best by code set a bar, and every row that may reach it is looked at.
     """
     spark = df.sparkSession
     every = usable(df, key, vector)
@@ -188,12 +231,6 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     block = lambda n: F.pmod(F.xxhash64("key", F.lit(17)), F.lit(n)).cast("int")
     rows = index(every, books).select("*", block(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
     asked = queries.select("key", "v", block(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    found = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_scan(books, share(reranked, row_blocks)), "query long, key long, near float")
-    found = found.groupBy("query", "key").agg(F.max("near").alias("near"))
-    best = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "key"))).where(F.col("at") <= reranked)
-    left, right = queries.select(F.col("key").alias("query"), F.col("v").alias("a")), every.select("key", F.col("v").alias("b"))
-    pairs = best.select("query", "key").join(left, "query").join(right, "key")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.withColumn("score", dot / (norm(F.col("a")) * norm(F.col("b")))).groupBy("query", "key").agg(F.max("score").alias("score"))
+    scored = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_scan(books, k, reranked), "query long, key long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")

@@ -282,6 +282,35 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.search(spark.createDataFrame([], schema), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_exact_among_near_copies(spark):
+    """A third are near copies, more than are reranked and nearer to each other than codes can tell."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 24))
+    x[::3] = x[0] + 0.01 * rng.normal(size=(500, 24))
+    x[3] = x[6] = x[9]
+    schema = "vec_id long, embedding array<double>"
+    books = neighbours.train(neighbours.unit(x), 2, 16)
+    got = neighbours.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], schema), F.col("vec_id") % 50 == 0, books=books).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for q in range(0, 1500, 50):
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        want += [(q, rank, int(v)) for rank, v in enumerate(np.lexsort((np.arange(1500), -s))[:5], 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == want
+
+
+def test_neighbours_bound_holds():
+    rng = np.random.default_rng(8)
+    x = neighbours.unit(np.concatenate([rng.normal(size=(400, 16)), 1 + 0.01 * rng.normal(size=(200, 16))]))
+    books = neighbours.train(x, 3, 16)
+    y = books.decode(books.encode(x)).astype(float)
+    size = (y**2).sum(1)
+    own = (x * y).sum(1) / np.sqrt(size)
+    for q in x[::7].astype(float):
+        assert (neighbours.highest(2 * y @ q - size, size, np.clip(own, -1, 1), 1e-6) >= x @ q).all()
+
+
 def test_codes_add_up():
     x = neighbours.unit(np.random.default_rng(1).normal(size=(500, 16)))
     books = neighbours.train(x, 4, 16)
