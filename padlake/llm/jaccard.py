@@ -276,7 +276,7 @@ def _links(nodes: np.ndarray, sets: list[np.ndarray], group: np.ndarray, left: n
     place_l, place_r = np.full(len(sets), -1), np.full(len(sets), -1)
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
     shared = np.zeros((len(left), len(right)), np.float32)
-    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 2048, 2048))
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 2049, 2048))
     for a, b in zip(edges, edges[1:]):
         if b > a:
             r, c = row[a:b], column[a:b] % 2048

@@ -61,6 +61,19 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == helpers.jaccard_components(docs, 3, 90)
 
 
+@pytest.mark.parametrize("shared", [1, 2048, 2049, 4097])
+def test_jaccard_links_at_the_threshold_in_slices(shared):
+    """Sets that are just alike have all their common elements counted, the last one of the last slice included."""
+    own = shared // 9
+    percent = -(-100 * shared // (shared + own))
+    while 100 * shared < percent * (shared + own) or 100 * (shared - 1) >= percent * (shared + own + 1):
+        own += 1
+        percent = 100 * shared // (shared + own)
+    a, b = np.arange(shared, dtype=np.uint64) + np.uint64(10**6), np.concatenate([np.arange(own, dtype=np.uint64), np.arange(shared, dtype=np.uint64) + np.uint64(10**6)])
+    both = np.array([0]), np.array([1])
+    assert jaccard._links(np.array([5, 7]), [a, b], np.array([5, 7]), *both, percent) == [(5, 7)]
+
+
 def test_jaccard_small_sets_share_subsets():
     edge = jaccard.boundary(90)
     assert 10 < edge < 40
