@@ -3,7 +3,7 @@
 Words are the symbols. A CGK random walk copies a window symbol by symbol and moves on, or not, by a random bit that
 depends on the step and the symbol; windows at a small edit distance have walks at a small Hamming distance. Sampling a
 few steps of the walk gives a hash; as many hashes are used as reach the target recall. What collides is verified by
-the exact edit distance.
+the exact edit distance. Where MOST_HASHES don't reach it, as for long items, every window that can match is verified.
 
 Of all item-sized windows only those are walked that can match at all: an item of n words with at most k edits has one
 of k + 1 pieces in the text unchanged, wherever the edits are.
@@ -115,11 +115,16 @@ class Index:
         self.bits = np.random.default_rng(11).integers(0, 2, (MOST_HASHES, 2 * longest + 1, 256), dtype=np.int8)
         self.steps: dict[int, np.ndarray] = {}
         self.tables: dict[int, list[dict[tuple, list[int]]]] = {}
+        #: Lengths whose windows are all verified.
+        self.exact: set[int] = set()
         for n in sorted({len(x) for x in self.ids}):
             rng = np.random.default_rng(n)
             steps = rng.integers(0, max(1, 3 * n // 2), (MOST_HASHES, SAMPLED))
             own = [k for k, x in enumerate(self.ids) if len(x) == n]
             hashes = self._hashes_for_recall(n, own, steps, rng)
+            if hashes is None:
+                self.exact.add(n)
+                continue
             self.steps[n] = steps[:hashes]
             self.tables[n] = []
             for t in range(hashes):
@@ -128,8 +133,8 @@ class Index:
                     table[tuple(row)].append(k)
                 self.tables[n].append(dict(table))
 
-    def _hashes_for_recall(self, n: int, own: list[int], steps: np.ndarray, rng: np.random.Generator) -> int:
-        """So many hashes that copies with all the edits allowed collide in one of them as often as asked."""
+    def _hashes_for_recall(self, n: int, own: list[int], steps: np.ndarray, rng: np.random.Generator) -> int | None:
+        """So many hashes that copies with all the edits allowed collide in one of them as often as asked; None if MOST_HASHES are too few."""
         edits = most_edits(n, self.similarity)
         if not edits:
             return 1
@@ -151,7 +156,7 @@ class Index:
             met |= (embed(np.stack(originals), self.bits[t], steps[t]) == embed(np.array(copies), self.bits[t], steps[t])).all(1)
             if met.mean() >= self.recall:
                 return t + 1
-        return MOST_HASHES
+        return None
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int, float]]]:
         """For each text (item, first word, words, distance, similarity) of what is found, the best place for each item."""
@@ -164,6 +169,7 @@ class Index:
         ids = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
         starts = np.cumsum([0, *(len(p) + len(gap) for p in parts)])
         windows: dict[tuple[int, int], set[int]] = defaultdict(set)
+        met: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size, pieces in self.pieces.items():
             hashes = _piece_hash(ids, size)
             for place in np.flatnonzero(self.bitmaps[size][hashes >> np.uint64(64 - _BITMAP)]).tolist():
@@ -172,26 +178,27 @@ class Index:
                     n = len(self.ids[k])
                     edits = most_edits(n, self.similarity)
                     first = place - offset - starts[doc]
-                    windows[doc, n].update(range(max(0, first - edits), max(0, min(first + edits, len(parts[doc]) - 1)) + 1))
+                    near = range(max(0, first - edits), max(0, min(first + edits, len(parts[doc]) - 1)) + 1)
+                    (met[doc, k] if n in self.exact else windows[doc, n]).update(near)
         for (doc, n), places in windows.items():
-            text, edits = parts[doc], most_edits(n, self.similarity)
+            text = parts[doc]
             at = np.array(sorted(places))
             padded = np.concatenate([text, np.zeros(n, np.int64)])
             rows = np.lib.stride_tricks.sliding_window_view(padded, n)[at]
-            met: dict[int, set[int]] = defaultdict(set)
             for t, table in enumerate(self.tables[n]):
                 for p, row in zip(at.tolist(), map(tuple, embed(rows, self.bits[t], self.steps[n][t]).tolist())):
                     for k in table.get(row, ()):
-                        met[k].add(p)
-            for k, where in met.items():
-                best = None
-                for low, high in _runs(sorted(where), n):
-                    a = max(0, low - edits)
-                    distance, start, end = best_match(self.ids[k], text[a : high + n + edits])
-                    if distance <= edits and (best is None or distance < best[0]):
-                        best = (distance, a + start, end - start)
-                if best:
-                    found[doc].append((self.items[k][0], best[1], best[2], best[0], 1 - best[0] / n))
+                        met[doc, k].add(p)
+        for (doc, k), where in met.items():
+            text, n = parts[doc], len(self.ids[k])
+            edits, best = most_edits(n, self.similarity), None
+            for low, high in _runs(sorted(where), n):
+                a = max(0, low - edits)
+                distance, start, end = best_match(self.ids[k], text[a : high + n + edits])
+                if distance <= edits and (best is None or distance < best[0]):
+                    best = (distance, a + start, end - start)
+            if best:
+                found[doc].append((self.items[k][0], best[1], best[2], best[0], 1 - best[0] / n))
         return [sorted(x) for x in found]
 
 

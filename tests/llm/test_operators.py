@@ -252,6 +252,21 @@ def test_decontaminate_reaches_its_recall_and_is_exact(spark):
     assert all(d < 1000 for d, _ in found)
 
 
+def test_decontaminate_verifies_all_windows_where_hashes_are_too_few(monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_HASHES", 1)
+    rng = random.Random(6)
+    items = [(k, prose(rng, n, 3000).split()) for k, n in enumerate([30, 60, 200, 400])]
+    index = decontaminate.Index(items)
+    assert index.exact == {30, 60, 200, 400}
+    for k, w in items:
+        for _ in range(8):
+            copy = list(w)
+            for at in rng.sample(range(len(w)), decontaminate.most_edits(len(w), 0.8)):
+                copy[at] = "qq"
+            found = index.find([prose(rng, 20, 3000) + " " + " ".join(copy) + " " + prose(rng, 20, 3000), "none of it"])
+            assert [m[0] for m in found[0]] == [k] and found[1] == []
+
+
 def test_decontaminate_edge_cases(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (1, "alpha beta gamma delta epsilon"), (2, None), (3, ""), (None, "x y"), (4, "one two three four five six")], "item_id long, text string")
     rows = [(1, "so Alpha, beta GAMMA delta epsilon!"), (2, None), (3, ""), (None, "one two three four five six")]
