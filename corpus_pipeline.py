@@ -6,13 +6,14 @@ of the columns of ``documents``; the last returns tokens.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padlake.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from padlake.llm.graph import saved
+from padlake.llm.graph import shared_folder
 from padlake.llm.labelled import fold
 from padlake.llm.registry import small_batches, table, tokenizer_path
 
@@ -34,10 +35,28 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles, 80 of 100 alike, the one of the smallest id."""
+    """Of each group of documents linked by five-word shingles, 80 of 100 alike, the one of the smallest id; null ids are the largest.
+
+    Rows that agree in id and text are one document, of which one row stays. Other texts of the same id are documents
+    of their own, linked only if they are alike.
+    """
     small_batches(spark)
-    groups = jaccard.join(docs, n=5, percent=80)
-    return docs.join(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    text = F.xxhash64("text")
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text).alias("text_hash"))
+    found = ids.agg(F.max("doc_id").alias("last"), F.max(F.expr("doc_id IS NULL OR n > 1")).alias("repeats")).first()
+    if not found.repeats:
+        groups = jaccard.join(docs, n=5, percent=80)
+        return docs.join(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    # Texts without an id, or besides the first of their id, get numbers beyond all ids.
+    repeated = ids.where("doc_id IS NOT NULL AND n > 1").select("doc_id", "text_hash", F.lit(0).cast("long").alias("part"))
+    beyond = F.lit(max(found.last or 0, 0) + 1) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    own = F.col("doc_id").isNotNull() & (F.col("text_hash").isNull() | (text == F.col("text_hash")))
+    # Null ids match nothing and are dealt by their texts.
+    part = F.when(F.col("doc_id").isNull(), text).otherwise(0).alias("part")
+    numbered = docs.select("*", part).join(repeated, ["doc_id", "part"], "left").withColumn("row_id", F.when(own, F.col("doc_id")).otherwise(beyond))
+    groups = jaccard.join(numbered.select("row_id", "text"), key="row_id", n=5, percent=80)
+    kept = numbered.join(groups.where(F.col("row_id") != F.col("component_id")).select("row_id"), "row_id", "left_anti")
+    return kept.dropDuplicates(["row_id"]).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +86,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, applied to ``documents``; what one keeps is written as Parquet into the shared folder and read again by the next."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, saved(docs) if k else docs, sf_dir)
+        if k:
+            path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if before:
+                old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+            before = path
+        docs = stage(spark, docs, sf_dir)
     return docs

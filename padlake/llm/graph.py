@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 ROWS = 500_000
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that no lineage is left. Where none is set, a folder of its own: on one machine a temporary one."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder. Where none is set, a folder of its own: on one machine a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         own = tempfile.mkdtemp() if context.master == "local" or context.master.startswith("local[") else "checkpoints"
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, so that no lineage is left."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -70,6 +70,27 @@ def test_stages(spark, folder):
     assert sorted((r.doc_id, r.ids_sha256) for r in ran) == sorted((r.doc_id, r.ids_sha256) for r in last)
 
 
+def test_near_copies_of_repeated_and_null_ids(spark, folder):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, a), (1, near(a)), (2, near(a)), (3, b), (3, c), (None, a), (None, d), (None, d), (None, near(d)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], COLUMNS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, folder).collect()]
+    assert [k for k, t in got if t in (a, near(a))] == [1]
+    assert [k for k, t in got if t in (d, near(d))] == [None]
+    assert sorted(t for k, t in got if k == 3) == sorted([b, c])
+    assert (4, None) in got and (5, "") in got and len(got) == 6
+
+
+def test_stages_are_passed_on_as_parquet(spark, folder, monkeypatch):
+    read, one = [], lambda s, docs, sf: (read.append(docs.inputFiles()), docs)[1]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", one), ("b", one), ("c", one)])
+    assert corpus_pipeline.run(spark, folder).count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    shared = corpus_pipeline.shared_folder(spark).removeprefix("file:")
+    assert all(shared in f and ".parquet" in f for files in read[1:] for f in files) and all(read)
+
+
 def test_labels_of_folds(spark):
     got = spark.range(2000).select(fold("id", 4).alias("f")).groupBy("f").count().collect()
     assert len(got) == 4 and np.ptp([r["count"] for r in got]) < 200
