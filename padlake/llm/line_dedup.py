@@ -46,9 +46,14 @@ def _span(k: Column) -> tuple[Column, Column]:
     return start, F.get(F.col("ends"), k) - start + 1
 
 
-def _chunk_text(k: Column) -> Column:
+def _chunk(k: Column) -> Column:
+    """The lines of chunk k, one by one: a slice within a lambda would go through the whole array for each chunk."""
     start, n = _span(k)
-    return F.array_join(F.slice(F.col("lines"), start + 1, n), "\n")
+    return F.transform(F.sequence(start, start + n - 1), lambda i: F.get(F.col("lines"), i))
+
+
+def _chunk_text(k: Column) -> Column:
+    return F.array_join(_chunk(k), "\n")
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
@@ -80,9 +85,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     rows = rows.join(gone.withColumnsRenamed({"doc": "g_doc", "row": "g_row"}), F.col("doc").eqNullSafe(F.col("g_doc")) & (F.col("row") == F.col("g_row")), "left")
     field = F.col("r").getField(text)
     rows = rows.withColumn("lines", F.split(F.coalesce(field, F.lit("")), "\n", -1))
-    rows = rows.withColumn("ends", F.when(F.col("gone").isNotNull(), _ends(F.transform("lines", _line_hash), window, divisor)))
+    # A column of its own: within the lambda of the ends, all lines would be hashed again for each line.
+    rows = rows.withColumn("hashes", F.when(F.col("gone").isNotNull(), F.transform("lines", _line_hash)))
+    rows = rows.withColumn("ends", F.when(F.col("gone").isNotNull(), _ends(F.col("hashes"), window, divisor)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("ends") - 1), F.col("gone"))
-    kept = F.flatten(F.transform(stay, lambda k: F.slice(F.col("lines"), _span(k)[0] + 1, _span(k)[1])))
+    kept = F.flatten(F.transform(stay, _chunk))
     rows = rows.withColumn("kept", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept))
     new = {
         text: F.when(F.col("gone").isNull(), field).otherwise(F.array_join("kept", "\n")),
