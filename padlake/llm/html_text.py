@@ -2,16 +2,19 @@
 
 A page is read into its leaf blocks in order. A bidirectional LSTM, in numpy, reads for each block a vector of its tag
 path, one of its hashed words and a few numbers, and says how likely the block is main text, in view of the whole page
-before and after it. It is trained on pages that are made up here, of whose blocks the kind is known.
+before and after it. Its weights lie beside this module; ``html_train`` makes them, from made-up pages of whose blocks the
+kind is known.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -22,14 +25,16 @@ from pyspark.sql import functions as F
 from padlake.llm.memory import trim
 
 #: Sizes of a block's vectors: its element, what that stands in, its words, its numbers; cells of the LSTM each way.
-OWN, AROUND, HASHED, NUMBERS, CELLS = 64, 160, 32, 8, 20
+OWN, AROUND, HASHED, NUMBERS, CELLS = 64, 160, 48, 11, 20
 INPUTS = OWN + AROUND + HASHED + NUMBERS
-PAGES, EPOCHS, BATCH, RATE, SEED = 1000, 10, 32, 0.008, 5
-#: Share of the blocks whose words are hidden in training, so that the network doesn't lean on made-up words.
-HIDDEN = 0.4
-#: Blocks that go through the network at a time.
-ROOM = 20_000
+#: Elements around a block that its path has, itself included; what stands farther out weighs less than a float can tell.
+DEPTH = 100
+#: Blocks that go through the network, and whose vectors are made, at a time.
+ROOM, AT_ONCE = 20_000, 4096
 REMEMBERED = 200_000
+#: How likely a block of the main text is at least: where made-up pages that training hadn't seen are told best.
+LEAST = 0.3
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 #: Fixed values of HTML: elements within a line, those that hold nothing, those whose content is no text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
@@ -46,21 +51,23 @@ WORD = re.compile(r"[^\W\d_]+")
 def blocks(html: str) -> list[tuple[tuple, str, int]]:
     """(path, text, characters in links) of each leaf block that has text, in page order.
 
-    A path is (the path around it, the element's tag and the parts of its class, id and role); () is the page.
+    A path has the elements that a block stands in, the nearest first and DEPTH at most; of each the tag and the parts
+    of its class, id and role. A page of any depth takes time and memory in proportion to its length.
     """
-    found, path, parts, linked, in_link, at, n = [], (), [], 0, False, 0, len(html)
+    found, parts, linked, in_link, at, n = [], [], 0, False, 0, len(html)
+    stack: list[tuple] = []
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal parts, linked
         if parts and (text := " ".join(unescape("".join(parts)).split())):
-            found.append((path, text, min(linked, len(text))))
+            found.append((tuple(stack[: -DEPTH - 1 : -1]), text, min(linked, len(text))))
         parts, linked = [], 0
 
-    def close(tag: str) -> tuple:
-        p = path
-        while p and p[1][0] != tag:
-            p = p[0]
-        return p[0] if p else path
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
 
     while at < n:
         m = TAG.search(html, at)
@@ -89,13 +96,16 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
         flush()
         in_link = False
         if m[1]:
-            path = close(tag)
+            # The end of what isn't open means nothing.
+            while opened[tag] > 0 and leave() != tag:
+                pass
             continue
-        if path and (path[1][0] == "p" or (path[1][0] == tag and tag in ENDS_ITSELF)):
-            path = path[0]
+        if stack and (stack[-1][0] == "p" or (stack[-1][0] == tag and tag in ENDS_ITSELF)):
+            leave()
         if tag not in VOID:
             names = tuple(dict.fromkeys(PART.findall(" ".join("".join(x) for x in NAMES.findall(m[3])).lower()))) if m[3] else ()
-            path = (path, (tag, *names))
+            stack.append((tag, *names))
+            opened[tag] += 1
     flush()
     return found
 
@@ -109,24 +119,19 @@ class _Vectors:
 
     def path(self, path: tuple) -> tuple[np.ndarray, np.ndarray]:
         """Of the element itself, and of all around it, the nearer the heavier."""
-        todo = []
-        while path and (got := self.paths.get(path)) is None:
-            todo.append(path)
-            path = path[0]
-        own, around = got if path else (np.zeros(OWN, np.float32), np.zeros(AROUND, np.float32))
-        for p in reversed(todo):
-            around = around * 0.8
-            tokens = [f"{'.' * (k > 0)}{t}" for k, t in enumerate(p[1])]
-            own = np.zeros(OWN, np.float32)
-            for t in tokens:
-                h = crc32(t.encode())
-                for v in (own, around):
-                    v[h % len(v)] += 1 - 2 * (h >> 20 & 1)
-                    v[(h >> 10) % len(v)] += 1 - 2 * (h >> 21 & 1)
+        if (got := self.paths.get(path)) is None:
+            own, around = np.zeros(OWN, np.float32), np.zeros(AROUND, np.float32)
+            for k, names in enumerate(path):
+                weight = np.float32(0.8**k)
+                for j, t in enumerate(names):
+                    h = crc32(f"{'.' * (j > 0)}{t}".encode())
+                    for v, w in ((own, 1), (around, weight)) if not k else ((around, weight),):
+                        v[h % len(v)] += w * (1 - 2 * (h >> 20 & 1))
+                        v[(h >> 10) % len(v)] += w * (1 - 2 * (h >> 21 & 1))
             if len(self.paths) >= REMEMBERED // 20:
                 self.paths.clear()
-            self.paths[p] = own, around
-        return own, around
+            got = self.paths[path] = own, around
+        return got
 
     def hashed(self, text: str) -> np.ndarray:
         known, ids = self.words, []
@@ -139,15 +144,18 @@ class _Vectors:
         counts = np.bincount(ids, minlength=HASHED).astype(np.float32) if ids else np.zeros(HASHED, np.float32)
         return counts / np.sqrt(1 + (counts**2).sum())
 
-    def of(self, page: list[tuple[tuple, str, int]]) -> np.ndarray:
-        out = np.zeros((len(page), INPUTS), np.float32)
-        for k, (path, text, linked) in enumerate(page):
+    def of(self, page: list[tuple[tuple, str, int]], first: int = 0, last: int | None = None) -> np.ndarray:
+        """Vectors of blocks first..last of a page."""
+        some = page[first:last]
+        out = np.zeros((len(some), INPUTS), np.float32)
+        for k, (path, text, linked) in enumerate(some):
             own, around = self.path(path)
             n = len(text)
             words = text.count(" ") + 1
             out[k] = np.concatenate([own, around, self.hashed(text), [
                 np.log1p(n) / 3, np.log1p(words) / 2, linked / n, text[-1] in ".!?…。", min(text.count(","), 20) / words,
-                k / len(page), np.log1p(len(page)) / 4, text[0].isupper(),
+                (first + k) / len(page), np.log1p(len(page)) / 4, text[0].isupper(),
+                "©" in text, min(sum(c.isdigit() for c in text[:40]), 8) / 8, ":" in text[:40],
             ]])
         return out
 
@@ -169,28 +177,32 @@ class Network:
 
     weights: dict[str, np.ndarray]
 
-    def _way(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        w, pages, steps = self.weights, *x.shape[:2]
-        pre = x @ w[f"wx{way}"] + w[f"b{way}"]
+    def projected(self, x: np.ndarray, way: str) -> np.ndarray:
+        return x @ self.weights[f"wx{way}"] + self.weights[f"b{way}"]
+
+    def _way(self, pre: np.ndarray, way: str, keep: bool) -> tuple[np.ndarray, list]:
+        w, pages, steps = self.weights, *pre.shape[:2]
         h, c, hs, kept = np.zeros((pages, CELLS), np.float32), np.zeros((pages, CELLS), np.float32), np.zeros((pages, steps, CELLS), np.float32), []
         for t in range(steps):
             z = pre[:, t] + h @ w[f"wh{way}"]
             gates, cell = _sigmoid(z[:, : 3 * CELLS]), np.tanh(z[:, 3 * CELLS :])
             i, f, o = gates[:, :CELLS], gates[:, CELLS : 2 * CELLS], gates[:, 2 * CELLS :]
-            kept.append((h, c, i, f, o, cell))
+            if keep:
+                kept.append((h, c, i, f, o, cell))
             c = f * c + i * cell
             h = o * np.tanh(c)
             hs[:, t] = h
         return hs, kept
 
-    def forward(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, tuple]:
-        ahead, kept1 = self._way(x, "1")
-        back, kept2 = self._way(_reversed(x, lengths), "2")
+    def forward(self, pre1: np.ndarray, pre2: np.ndarray, lengths: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """From the projected vectors [pages, blocks, ...] of the blocks, as they stand, for each way."""
+        ahead, kept1 = self._way(pre1, "1", keep)
+        back, kept2 = self._way(_reversed(pre2, lengths), "2", keep)
         both = np.concatenate([ahead, _reversed(back, lengths)], 2)
         return _sigmoid(both @ self.weights["out"] + self.weights["bias"]), (both, ahead, back, kept1, kept2)
 
     def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, (both, ahead, back, kept1, kept2) = self.forward(x, lengths)
+        p, (both, ahead, back, kept1, kept2) = self.forward(self.projected(x, "1"), self.projected(x, "2"), lengths, True)
         e = np.where(np.arange(x.shape[1]) < lengths[:, None], p - y, 0).astype(np.float32) / lengths.sum()
         g = {"out": np.einsum("pt,pth->h", e, both), "bias": e.sum(keepdims=True).reshape(1)}
         d = e[:, :, None] * self.weights["out"]
@@ -210,194 +222,39 @@ class Network:
             g[f"b{way}"] = dz.sum((0, 1))
         return g
 
-    def likely(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """How likely each block of each page is main text; pages of like length go together."""
+    def likely(self, pages: list[list], vectors: _Vectors) -> list[np.ndarray]:
+        """How likely each block of each page (lists of blocks) is main text; pages of like length go together.
+
+        Of a page only what the gates make of its vectors is held, not the vectors.
+        """
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((k for k, x in enumerate(pages) if len(x)), key=lambda k: -len(pages[k]))
         while order:
             longest = len(pages[order[0]])
             some, order = order[: max(1, ROOM // longest)], order[max(1, ROOM // longest) :]
             lengths = np.array([len(pages[k]) for k in some])
-            p, _ = self.forward(_padded([pages[k] for k in some]), lengths)
+            pre = np.zeros((2, len(some), longest, 4 * CELLS), np.float32)
+            for row, k in enumerate(some):
+                for a in range(0, len(pages[k]), AT_ONCE):
+                    x = vectors.of(pages[k], a, a + AT_ONCE)
+                    pre[0, row, a : a + len(x)], pre[1, row, a : a + len(x)] = self.projected(x, "1"), self.projected(x, "2")
+            p, _ = self.forward(pre[0], pre[1], lengths)
             for k, row in zip(some, p):
                 out[k] = row[: len(pages[k])]
         return out
 
 
-def _padded(pages: list[np.ndarray]) -> np.ndarray:
-    x = np.zeros((len(pages), max(map(len, pages)), INPUTS), np.float32)
-    for k, page in enumerate(pages):
-        x[k, : len(page)] = page
-    return x
-
-
-MAIN, REST = "\ue000", "\ue001"
-#: Words that pages use around their text.
-CHROME = {
-    "nav": "home about contact login search news sports blog shop help menu start archive topics más inicio accueil startseite kontakt über".split(),
-    "footer": "copyright rights reserved privacy terms imprint impressum sitemap legal mentions légales aviso contact © ·".split(),
-    "notice": "cookies cookie consent accept privacy policy browser javascript please enable notice continue settings".split(),
-    "ad": "advertisement sponsored buy now offer sale discount free click here promoted anzeige publicité".split(),
-    "form": "email name subscribe newsletter password submit sign up your send search address".split(),
-    "side": "related popular recent posts tags categories most read trending follow share archives".split(),
-    "comments": "comment reply says ago comments posted by anonymous like".split(),
-}
-NAMED = {
-    "nav": ("nav", "menu navbar navigation breadcrumb breadcrumbs topnav mainmenu toc pagination".split()),
-    "header": ("header", "header masthead top banner site-header topbar branding".split()),
-    "footer": ("footer", "footer site-footer bottom copyright colophon foot".split()),
-    "notice": ("div", "cookie notice alert consent gdpr popup modal cookie-banner message overlay".split()),
-    "ad": ("div", "ad ads advert advertisement sponsored promo adbox banner-ad sponsor".split()),
-    "form": ("form", "form newsletter subscribe signup search login contact-form".split()),
-    "side": ("aside", "sidebar related widget recommended side share social rail popular tags".split()),
-    "comments": ("section", "comments comment-list discussion responses replies disqus reader-comments".split()),
-}
-ARTICLE = "content post entry article article-body story main text post-content entry-content body-text article-content main-content".split()
-
-
-class _Maker:
-    """Made-up pages whose blocks begin with MAIN or REST."""
-
-    def __init__(self, rng: np.random.Generator):
-        self.rng = rng
-        self.syllables = ["".join(rng.choice(list("bcdfghlmnprst"), 1)) + "".join(rng.choice(list("aeiou"), 1)) + "".join(rng.choice(["", "n", "r", "s", "ch", "é"], 1)) for _ in range(60)]
-
-    def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
-
-    def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
-
-    def words(self, low: int, high: int, own: tuple | list = ()) -> str:
-        out = []
-        for _ in range(int(self.rng.integers(low, high))):
-            out.append(self.pick(own) if own and self.chance(0.6) else "".join(self.rng.choice(self.syllables, int(self.rng.integers(1, 4)))))
-        return " ".join(out)
-
-    def prose(self, low: int = 8, high: int = 60) -> str:
-        text = self.words(low, high)
-        if self.chance(0.15):
-            text = text.upper()
-        if self.chance(0.15):
-            text = " ".join(w + self.pick(["!!", "***", "&amp;&amp;", " |", "%%%"]) for w in text.split())
-        if self.chance(0.15):
-            text = " ".join(w for x in text.split()[: int(self.rng.integers(1, 12))] for w in [x] * int(self.rng.integers(3, 40)))
-        return text[:1].upper() + text[1:] + self.pick([".", ".", ".", "", "?", "!"])
-
-    def wrap(self, kind: str, inner: str) -> str:
-        tag, names = NAMED[kind]
-        semantic = self.chance(0.6)
-        name = self.pick(names) if not semantic or self.chance(0.5) or tag in ("div", "section") else ""
-        attribute = f' {self.pick(["class", "class", "id"])}="{name}{self.pick(["", "", " wide", "-1", " box"])}"' if name else ""
-        tag = tag if semantic else "div"
-        return f"<{tag}{attribute}>{inner}</{tag}>"
-
-    def links(self, low: int, high: int, own: list) -> str:
-        items = [f'<a href="/{k}">{REST}{self.words(1, 4, own)}</a>' for k in range(int(self.rng.integers(low, high)))]
-        return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.chance(0.8) else "".join(f"<div>{x}</div>" for x in items)
-
-    def rest(self, kind: str) -> str:
-        own = CHROME.get(kind, CHROME["nav"])
-        tag = self.pick(["p", "div", "span"])
-        if kind in ("nav", "header"):
-            inner = (f"<h2>{REST}{self.words(1, 4)}</h2><p>{REST}{self.words(2, 9)}</p>" if kind == "header" else "") + (self.links(3, 9, own) if kind == "nav" or self.chance(0.5) else "")
-        elif kind == "footer":
-            inner = f"<{tag}>{REST}{self.pick(['&copy; ', '', '2024 '])}{self.words(2, 14, own)}</{tag}>" * (1 if self.chance(0.7) else 2) + (self.links(2, 6, own) if self.chance(0.4) else "")
-            if self.chance(0.4):
-                inner = f"{REST}&copy; {self.words(1, 3)} &middot; {self.prose(2, 20)}"
-        elif kind == "form":
-            inner = "".join(f"<p>{REST}<label>{self.words(1, 3, own)}</label><input></p>" for _ in range(int(self.rng.integers(1, 4)))) + f"<button>{REST}{self.words(1, 3, own)}</button>"
-        elif kind == "comments":
-            each = self.pick(['<div class="comment">{}</div>', "<li>{}</li>", "<div>{}</div>", "<article class='comment'>{}</article>"])
-            inner = f"<h3>{REST}{self.words(1, 4, own)}</h3>" + "".join(each.format(f"<{self.pick(['h4', 'b', 'div'])}>{REST}{self.words(1, 3, own)}</div><p>{REST}{self.prose(3, 40)}</p>") for _ in range(int(self.rng.integers(1, 6))))
-        elif kind == "side":
-            inner = f"<h3>{REST}{self.words(1, 4, own)}</h3>" + (self.links(2, 7, own) if self.chance(0.6) else f"<p>{REST}{self.prose(4, 30)}</p>")
-        elif self.chance(0.5):
-            inner = f"{REST}{self.prose(2, 25) if self.chance(0.6) else self.words(2, 25, own)}"
-        else:
-            inner = f"<p>{REST}{self.words(3, 25, own)}</p>" + (f"<button>{REST}{self.words(1, 3, own)}</button>" if self.chance(0.4) else "")
-        return self.wrap(kind, inner)
-
-    def article(self) -> str:
-        inner = [f"<h1>{MAIN}{self.prose(2, 14)}</h1>"] if self.chance(0.9) else []
-        if inner and self.chance(0.15):
-            inner[0] = f"<header>{inner[0]}</header>"
-        block = self.pick(["p", "p", "p", "p", "div"])
-        for _ in range(int(self.rng.integers(1, 12))):
-            r = self.rng.random()
-            if r < 0.7:
-                start = self.pick(["", "", "", "<b>", '<a href="/x">see</a> '])
-                inner.append(f"<{block}>{MAIN}{start}{self.prose(1, 90)}" + self.pick(["", "<br>"]) + ("" if self.chance(0.2) and block == "p" else f"</{block}>"))
-            elif r < 0.78:
-                inner.append(f"<{self.pick(['h2', 'h3'])}>{MAIN}{self.words(1, 8)}</h2>")
-            elif r < 0.84:
-                inner.append("<ul>" + "".join(f"<li>{MAIN}{self.prose(2, 20)}</li>" for _ in range(int(self.rng.integers(2, 6)))) + "</ul>")
-            elif r < 0.89:
-                inner.append(f"<blockquote><p>{MAIN}{self.prose(5, 40)}</p></blockquote>")
-            elif r < 0.92:
-                inner.append("<table>" + f"<tr><td>{MAIN}{self.words(1, 4)}</td><td>{MAIN}{self.words(1, 4)}</td></tr>" * 2 + "</table>")
-            else:
-                inner.append(self.rest(self.pick(["ad", "side", "form", "notice", "nav"])))
-        if self.chance(0.1):
-            inner.append(f"<footer>{REST}{self.words(2, 8)}</footer>")
-        shape = self.rng.random()
-        text = "".join(inner)
-        if shape < 0.4:
-            return f"<article>{text}</article>"
-        if shape < 0.6:
-            return f"<main>{text}</main>" if self.chance(0.5) else f'<main id="{self.pick(ARTICLE)}"><article>{text}</article></main>'
-        if shape < 0.93:
-            return f'<div {self.pick(["class", "id"])}="{self.pick(ARTICLE)}">{text}</div>'
-        return text if self.chance(0.5) else f"<div>{text}</div>"
-
-    def page(self) -> str:
-        before = [self.rest(k) for k in ("notice", "header", "nav", "nav", "ad", "form") if self.chance({"notice": 0.3, "form": 0.15}.get(k, 0.5))]
-        after = [self.rest(k) for k in ("ad", "side", "side", "form", "comments", "footer", "notice") if self.chance({"footer": 0.85, "notice": 0.2}.get(k, 0.4))]
-        if self.chance(0.3):
-            self.rng.shuffle(before)
-        side = self.rest("side") if self.chance(0.2) else ""
-        body = "".join(before) + side + self.article() + "".join(after)
-        return f'<html><head><title>{self.words(2, 6)}</title></head><body>{body}</body></html>' if self.chance(0.85) else f'<body><div id="wrapper">{body}</div></body>'
-
-
 @lru_cache(maxsize=1)
-def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Network:
-    """The network, trained on the driver; the same at every call."""
-    rng = np.random.default_rng(seed)
-    make, vectors, xs, ys = _Maker(rng), _Vectors(), [], []
-    for _ in range(pages):
-        page = [(path, text, linked) for path, text, linked in blocks(make.page()) if text[0] in MAIN + REST and len(text) > 1]
-        if page:
-            ys.append(np.array([text[0] == MAIN for _, text, _ in page], np.float32))
-            xs.append(vectors.of([(path, text[1:].strip() or "-", max(0, linked - 1)) for path, text, linked in page]))
-    init = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
-    w = {"out": init(2 * CELLS), "bias": np.zeros(1, np.float32)}
-    for way in "12":
-        w |= {f"wx{way}": init(INPUTS, 4 * CELLS), f"wh{way}": init(CELLS, 4 * CELLS), f"b{way}": np.zeros(4 * CELLS, np.float32)}
-        w[f"b{way}"][CELLS : 2 * CELLS] = 1
-    net, m, s, step = Network(w), {k: 0.0 for k in w}, {k: 0.0 for k in w}, 0
-    for epoch in range(epochs):
-        for some in np.array_split(rng.permutation(len(xs)), max(1, len(xs) // BATCH)):
-            lengths = np.array([len(xs[k]) for k in some])
-            y = np.zeros((len(some), lengths.max()), np.float32)
-            for row, k in enumerate(some):
-                y[row, : len(ys[k])] = ys[k]
-            step += 1
-            x = _padded([xs[k] for k in some])
-            x[:, :, OWN + AROUND : OWN + AROUND + HASHED] *= rng.random((*x.shape[:2], 1)) >= HIDDEN
-            rate = RATE * (1 - epoch / epochs) + RATE / 20
-            for k, g in net.gradients(x, lengths, y).items():
-                g = np.clip(g, -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                w[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return net
+def trained() -> Network:
+    """The network whose weights lie in the package."""
+    with np.load(WEIGHTS) as stored:
+        return Network({name: stored[name].astype(np.float32) for name in stored.files})
 
 
 def main_text(pages: list[str], net: Network, vectors: _Vectors) -> list[str]:
     read = [blocks(p) for p in pages]
-    kept = net.likely([vectors.of(b) for b in read])
-    return ["\n".join(text for (_, text, _), p in zip(b, ps) if p >= 0.5) for b, ps in zip(read, kept)]
+    kept = net.likely(read, vectors)
+    return ["\n".join(text for (_, text, _), p in zip(b, ps) if p >= LEAST) for b, ps in zip(read, kept)]
 
 
 def _extractor(net: Network):
@@ -418,6 +275,6 @@ def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``df`` with ``out``: the main text of each whole page, blocks in page order joined by newlines.
 
     Character references are decoded, white space inside a block is one space. Null and empty pages, and those
-    without main text, give an empty text. Every row stays; a column named as ``out`` is replaced, others pass.
+    without main text, give an empty text. Pages of any length and depth of nesting take time in proportion. Every row stays; a column named as ``out`` is replaced, others pass.
     """
     return df.withColumn(out, _extractor(trained())(F.col(f"`{html}`")))

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import helpers
-from padlake.llm import decontaminate, graph, html_text, jaccard, line_dedup, neighbours, preference, quality, shards, suffix_dedup, toxicity
+from padlake.llm import decontaminate, graph, html_text, html_train, jaccard, line_dedup, neighbours, preference, quality, shards, suffix_dedup, toxicity
 from padlake.llm.labelled import fold
 
 SCHEMA = "doc_id long, text string"
@@ -200,6 +201,17 @@ def test_line_dedup_equals_brute_force(spark):
     assert sum(len(t) for t in got.values()) < sum(len(t) for _, t in docs)
 
 
+def test_line_dedup_is_linear_in_lines(spark, tmp_path):
+    lines = [f"line {k * 7919 % 100_000} of it" for k in range(100_000)]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own"] + lines[500:]))], SCHEMA).write.parquet(str(tmp_path / "t"))
+    began = time.time()
+    got = line_dedup.dedup(spark.read.parquet(str(tmp_path / "t"))).orderBy("doc_id").collect()
+    assert time.time() - began < 60
+    assert got[0].n_removed_lines == 0 and got[0].n_lines == 100_000 and got[1].n_removed_lines > 85_000
+    want = helpers.line_dedup([(1, "\n".join(lines)), (2, "\n".join(["own"] + lines[500:]))], _hash, line_dedup.WINDOW, line_dedup.DIVISOR, line_dedup.BASE, line_dedup.MODULUS)
+    assert [r.text for r in got] == [want[1], want[2]]
+
+
 def test_line_dedup_edge_cases(spark):
     assert line_dedup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     t = "\n".join(prose(random.Random(1), 5) for _ in range(20))
@@ -408,17 +420,84 @@ def test_blocks():
 
 def test_labeller_on_unseen_pages():
     net, vectors = html_text.trained(), html_text._Vectors()
-    make = html_text._Maker(np.random.default_rng(77))
+    make = html_train._Maker(np.random.default_rng(77))
     right = total = 0
     for _ in range(120):
-        page = [b for b in html_text.blocks(make.page()) if b[1][0] in html_text.MAIN + html_text.REST and len(b[1]) > 1]
+        page = [b for b in html_text.blocks(make.page()) if b[1][0] in html_train.MAIN + html_train.REST and len(b[1]) > 1]
         if page:
-            p = net.likely([vectors.of([(path, text[1:].strip() or "-", linked) for path, text, linked in page])])[0]
-            right += int(((p >= 0.5) == [t[0] == html_text.MAIN for _, t, _ in page]).sum())
+            p = net.likely([[(path, text[1:].strip() or "-", linked) for path, text, linked in page]], vectors)[0]
+            right += int(((p >= html_text.LEAST) == [t[0] == html_train.MAIN for _, t, _ in page]).sum())
             total += len(page)
     assert right > 0.98 * total
 
 
+def test_labeller_equals_a_plain_lstm(monkeypatch):
+    """One block and one cell at a time; pages of unlike lengths in one go, and long ones in several."""
+    monkeypatch.setattr(html_text, "AT_ONCE", 3)
+    net, vectors, make = html_text.trained(), html_text._Vectors(), html_train._Maker(np.random.default_rng(5))
+    pages = [html_text.blocks(make.page()) for _ in range(3)] + [[]]
+    got, w, cells = net.likely(pages, vectors), net.weights, html_text.CELLS
+    sigma = lambda z: 1 / (1 + np.exp(-z))
+    for page, p in zip(pages, got):
+        x, both = vectors.of(page), []
+        for way, order in (("1", range(len(page))), ("2", range(len(page) - 1, -1, -1))):
+            h, c, hs = np.zeros(cells), np.zeros(cells), {}
+            for t in order:
+                z = x[t].astype(float) @ w[f"wx{way}"] + h @ w[f"wh{way}"] + w[f"b{way}"]
+                new_h, new_c = np.zeros(cells), np.zeros(cells)
+                for k in range(cells):
+                    i, f, o, g = sigma(z[k]), sigma(z[cells + k]), sigma(z[2 * cells + k]), np.tanh(z[3 * cells + k])
+                    new_c[k] = f * c[k] + i * g
+                    new_h[k] = o * np.tanh(new_c[k])
+                h, c = new_h, new_c
+                hs[t] = h
+            both.append([hs[t] for t in range(len(page))])
+        want = [sigma(float(np.concatenate([a, b]) @ w["out"] + w["bias"][0])) for a, b in zip(*both)]
+        assert len(p) == len(page) and np.allclose(p, want, atol=1e-4)
+
+
+#: Pages written by hand, without telling class names, and what is main text in them.
+BY_HAND = [
+    (
+        '<html><body><div class="a1"><div class="b2"><a href="/">Start</a> <a href="/n">News</a> <a href="/s">Sport</a></div></div><div class="c3"><h1>River floods the old town</h1>'
+        "<p>After three days of rain the river rose over its banks on Monday night, and the market square stood under a metre of water.</p>"
+        '<p>Shopkeepers carried what they could to the upper floors. "We have seen it before, but never in spring," said one of them.</p></div>'
+        '<div class="d4"><h3>2 comments</h3><div><b>Anna says:</b><p>My cellar is full of mud, thanks for reporting on it.</p></div><div><b>Tom, 3 days ago</b><p>They should have built the wall years ago.</p></div></div>'
+        '<div class="e5">&copy; 2024 Valley Herald. All rights reserved.</div></body></html>',
+        ["River floods", "After three", "Shopkeepers carried"],
+    ),
+    (
+        '<body><div id="x"><ul><li><a href="/1">Home</a></li><li><a href="/2">About</a></li><li><a href="/3">Contact</a></li></ul></div><div id="y"><h2>How to sharpen a knife</h2>'
+        "<p>Hold the blade at about twenty degrees to the stone and draw it towards you, from heel to tip.</p><p>Turn it over and repeat, ten strokes on each side, with light pressure.</p>"
+        '<ul><li>Use water or oil on the stone, never both.</li><li>Wipe the blade before you test it.</li></ul></div><div id="z">Categories: tools, kitchen, how-to</div><p>Copyright 2019 by the author</p></body>',
+        ["How to", "Hold the", "Turn it", "Use water", "Wipe the"],
+    ),
+    (
+        '<html><body><header><h2>The Bakery Blog</h2><p>Bread and more</p></header><main><h1>A rye loaf for beginners</h1><p>Rye flour takes up more water than wheat, so expect a wet and sticky dough.</p>'
+        "<p>Leave it in a warm place overnight.</p></main><aside><h3>Popular</h3><ul><li><a href='/a'>Sourdough in a week</a></li><li><a href='/b'>Which oven to buy</a></li></ul></aside>"
+        '<form><label>Your email</label><input><button>Subscribe</button></form><footer>&copy; 2021 The Bakery Blog</footer></body></html>',
+        ["A rye", "Rye flour", "Leave it"],
+    ),
+]
+
+
+@pytest.mark.parametrize("page, main", BY_HAND)
+def test_pages_without_telling_names(page, main):
+    text = html_text.main_text([page], html_text.trained(), html_text._Vectors())[0].split("\n")
+    assert [" ".join(t.split()[:2]) for t in text] == main
+
+
+def test_deep_and_long_pages(spark):
+    net, vectors = html_text.trained(), html_text._Vectors()
+    began = time.time()
+    for page in ("<div>" * 1_000_000 + "deep", "<div>" * 200_000 + "x" + "</div>" * 200_000, "<ul>" * 20_000 + "</p>" * 200_000 + "y", "<article>" + "<div><p>a text of some words</p>" * 20_000):
+        html_text.main_text([page, "<p>z</p>"], net, vectors)
+    assert time.time() - began < 60
+    long = "<article><h1>Title</h1>" + "".join(f"<p>Paragraph {k} of a long text, with words.</p>" for k in range(20_000)) + "</article><footer>&copy; 2024</footer>"
+    got = html_text.extract(spark.createDataFrame([(1, long), (2, "<div>" * 50_000 + "x")], "page_id long, html string")).collect()[0].text.split("\n")
+    assert len(got) > 19_900 and got[-1].startswith("Paragraph 19999 of")
+
+
 def test_extract(spark):
     page = (
         '<html><head><title>T</title></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="cookie">We use cookies.</div>'
