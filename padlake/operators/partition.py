@@ -29,15 +29,9 @@ def uniform_bucket(key: Column, domain: int, bins: int) -> Column:
 
 
 def format_splits(splits: Iterable[int], domain: int) -> list[tuple[int, int]]:
-    """Intervals that end at the splits within the domain, and one for the rest of it."""
-    out, start = [], 1
-    for s in sorted(s for s in splits if 1 <= s <= domain):
-        if start <= s:
-            out.append((start, s))
-            start = s + 1
-    if start <= domain:
-        out.append((start, domain))
-    return out
+    """The intervals of [1, domain] that end at the distinct splits within it and at the domain itself, each beginning after the end before."""
+    ends = sorted({domain, *(s for s in splits if 0 < s < domain)})
+    return [(before + 1, end) for before, end in zip([0, *ends], ends)]
 
 
 @dataclass(frozen=True)
