@@ -13,20 +13,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from padlake.llm.graph import saved
+
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 16384
 CODEBOOKS, WORDS, BEAM, ROUNDS, SEED = 20, 256, 6, 2, 3
 #: Of the least squares: how strongly words stay as they are, and how often each is looked at in a round.
 RIDGE, SWEEPS = np.float32(0.5), 6
-#: Candidates of a query in a block whose exact cosines set the bar; whatever the bound doesn't put below it is ranked too.
+#: Candidates of a query in a block whose exact cosines raise the bar; whatever the bound doesn't put below it is ranked too.
 RERANKED = 200
-#: Coded vectors and queries that meet in one task at a time.
-ROWS, QUERIES = 8192, 1024
+#: Coded vectors that a task holds at a time, and bytes of the queries' vectors that are sent to all tasks in a pass.
+ROWS, QUERY_BYTES = 8192, 8 << 20
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -162,46 +164,86 @@ def highest(near: np.ndarray, size: np.ndarray, own: np.ndarray, slack: float) -
     return at * own + np.sqrt((1 - at**2) * (1 - own**2)) + 1e-6
 
 
-def _scan(books: Codebooks, k: int, reranked: int):
+@dataclass
+class _Best:
+    """The k nearest distinct ids that a query has met, nearest first, ties to the smaller id."""
+
+    k: int
+    keys: np.ndarray
+    scores: np.ndarray
+
+    @classmethod
+    def none(cls, k: int) -> _Best:
+        return cls(k, np.zeros(0, np.int64), np.zeros(0))
+
+    @property
+    def bar(self) -> float:
+        """What a row's cosine must reach to be looked at, a little less than the last one's; anything while there are fewer than k ids."""
+        return self.scores[-1] - 1e-9 if len(self.keys) == self.k else -2.0
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        keys, scores = np.concatenate([self.keys, keys]), np.concatenate([self.scores, scores])
+        order = np.lexsort((-scores, keys))
+        order = order[np.concatenate([[True], np.diff(keys[order]) != 0])] if len(order) else order
+        order = order[np.lexsort((keys[order], -scores[order]))][: self.k]
+        self.keys, self.scores = keys[order], scores[order]
+
+
+_FOUND = "query long, key long, score double"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _scan(books: Codebooks, asked: Broadcast, k: int, reranked: int, rows: int):
     # Of sums of float32 products: those of a table's entries, of the entries, and of the stored norm.
     slack = (books.words.shape[2] + len(books.words) + 16) * 2.0**-23 * (1 + float(np.sqrt((books.words.astype(float) ** 2).sum(2).max(1)).sum())) ** 2
 
-    def scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if queries.empty or rows.empty:
-            return empty
-        rows = rows.sort_values("key", kind="stable")
-        keys, size, own = rows.key.to_numpy(), rows["size"].to_numpy(np.float32), rows.own.to_numpy()
-        codes = np.frombuffer(b"".join(rows.code), np.uint8).reshape(len(rows), -1)
-        x = scaled(np.stack(rows.v.to_numpy()))
-        inverse = 1 / np.linalg.norm(x, axis=1)
-        # Rows that repeat an id may all be among the best.
-        several = k * int(np.unique(keys, return_counts=True)[1].max())
-        out = []
-        for q, v in zip(queries["key"], queries["v"]):
-            v = np.asarray(v, float)[None]
-            table = books.words @ unit(v)[0]
-            near = 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1])) - size
-            v = scaled(v)[0]
-            direction = v / np.linalg.norm(v)
-            others = np.flatnonzero(keys != q)
-            if not len(others):
-                continue
-            first = min(max(reranked, several), len(others))
-            best = others[np.argpartition(near[others], len(others) - first)[len(others) - first :]]
-            bar = -2.0
-            if several <= first:
-                bar = np.partition((x[best] @ direction) * inverse[best], first - several)[first - several] - 1e-9
-            best = others[highest(near[others].astype(float), size[others].astype(float), own[others], slack) >= bar]
-            about = (x[best] @ direction) * inverse[best]
-            best = best[about >= bar]
-            score = cosines(x[best], v)
-            # Each id once, at its best score.
-            order = np.lexsort((-score, keys[best]))
-            order = order[np.concatenate([[True], np.diff(keys[best][order]) != 0])]
-            order = order[np.lexsort((keys[best][order], -score[order]))][:k]
-            out.append(pd.DataFrame({"query": q, "key": keys[best][order], "score": score[order]}))
-        return pd.concat(out) if out else empty
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = asked.value
+        dim = vectors.shape[1]
+        best = [_Best.none(k) for _ in ids]
+        tables, exact = unit(vectors), scaled(vectors)
+        for block in _blocks(batches, rows):
+            keys = block["key"].to_numpy()
+            size, own = block["size"].to_numpy().astype(np.float64), block["own"].to_numpy()
+            codes = np.frombuffer(b"".join(block["code"].to_pylist()), np.uint8).reshape(len(keys), -1)
+            x = scaled(block["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+            inverse = 1 / np.linalg.norm(x, axis=1)
+            for i, q in enumerate(ids.tolist()):
+                table = books.words @ tables[i]
+                near = 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1])).astype(np.float64) - size
+                direction = exact[i] / np.linalg.norm(exact[i])
+                here, others = best[i], keys != q
+
+                def look(at: np.ndarray) -> None:
+                    at = at[(x[at] @ direction) * inverse[at] >= here.bar]
+                    here.add(keys[at], cosines(x[at], exact[i]))
+
+                may = np.flatnonzero(others & (highest(near, size, own, slack) >= here.bar))
+                if len(may) > reranked:
+                    # The best by code raise the bar for the rest.
+                    first = np.argpartition(near[may], len(may) - reranked)
+                    look(may[first[len(may) - reranked :]])
+                    may = may[first[: len(may) - reranked]]
+                    may = may[highest(near[may], size[may], own[may], slack) >= here.bar]
+                if len(may):
+                    look(may)
+        yield pa.RecordBatch.from_pydict({
+            "query": np.repeat(ids, [len(b.keys) for b in best]),
+            "key": np.concatenate([np.zeros(0, np.int64), *(b.keys for b in best)]),
+            "score": np.concatenate([np.zeros(0), *(b.scores for b in best)]),
+        })
 
     return scan
 
@@ -211,12 +253,12 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
 
     Nearest first, ties to the smaller id. Vectors that are null, empty or zero or hold a null or non-finite number
     take no part, nor do null ids or vectors of another length than most of the sample's. Rows that repeat an id count
-    once, at their best score; the query's own id is no candidate. Fewer candidates than k give fewer rows. Scores are
+    once, at their best score, and ask with the least of their vectors; the query's own id is no candidate. Fewer candidates than k give fewer rows. Scores are
     those of the original vectors, in double precision.
 
-    The coded rows and the queries meet block by block: blocks hold about ROWS and QUERIES, whatever the table's size
-    and the values in it, and each sends on the k nearest that it has. In a block the exact cosines of the ``reranked``
-    best by code set a bar, and every row that may reach it is looked at.
+    The queries are sent to the rows in passes of QUERY_BYTES or so, as many as their number asks for; no row is moved or
+    copied. A task goes through its rows block by block, keeps the k nearest of each query, and looks at every row that
+    the bound of its code doesn't put below them; the ``reranked`` best by code come first.
     """
     spark = df.sparkSession
     every = usable(df, key, vector)
@@ -226,11 +268,34 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
         return empty
     every = every.where(F.size("v") == length.n)
     books = books or fit(every)
-    queries = usable(df.where(is_query), key, vector).where(F.size("v") == length.n).dropDuplicates(["key"])
-    row_blocks, query_blocks = math.ceil(length["count"] / ROWS), max(1, math.ceil(queries.count() / QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("key", F.lit(17)), F.lit(n)).cast("int")
-    rows = index(every, books).select("*", block(row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    asked = queries.select("key", "v", block(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
-    scored = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(_scan(books, k, reranked), "query long, key long, score double")
+    queries = usable(df.where(is_query), key, vector).where(F.size("v") == length.n).groupBy("key").agg(F.min("v").alias("v"))
+    passes = math.ceil(queries.count() * length.n * 8 / QUERY_BYTES)
+    rows = index(every, books)
+    if passes > 1:
+        queries, rows = saved(queries), saved(rows)
+    found = spark.createDataFrame([], _FOUND)
+    for p in range(passes):
+        some = queries.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == p).toPandas().sort_values("key")
+        if len(some):
+            asked = spark.sparkContext.broadcast((some["key"].to_numpy(np.int64), np.stack(some["v"].to_numpy()).astype(float)))
+            found = found.union(rows.mapInArrow(_scan(books, asked, k, reranked, ROWS), _FOUND))
+    # Rows of one id may have been in several tasks.
+    found = found.groupBy("query", "key").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
+
+
+def oracle(table: str = "embeddings", every: int = 50, k: int = 5) -> str:
+    """DuckDB SQL for query_id, rank, vec_id, score of a table of unique ids; it compares all queries with all rows, and sums from left to right."""
+    return f"""
+    WITH fine AS (
+        SELECT vec_id, embedding FROM {table}
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0),
+    parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM fine),
+    norms AS (SELECT vec_id, sqrt(sum(x * x ORDER BY i)) AS norm FROM parts GROUP BY vec_id),
+    dots AS (
+        SELECT q.vec_id AS query_id, r.vec_id, sum(r.x * q.x ORDER BY r.i) AS dot
+        FROM parts q JOIN parts r ON q.i = r.i AND q.vec_id != r.vec_id WHERE q.vec_id % {every} = 0 GROUP BY q.vec_id, r.vec_id),
+    scored AS (SELECT query_id, d.vec_id, dot / (a.norm * b.norm) AS score FROM dots d JOIN norms a ON a.vec_id = query_id JOIN norms b ON b.vec_id = d.vec_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= {k}"""
