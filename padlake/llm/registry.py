@@ -102,9 +102,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each pair of conversations: those of even id are chosen, that of the next odd id is rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    sides = preference.pairs(turns, F.expr("conv_id div 2"), F.col("conv_id") % 2 != 0)
+    """A row for each conversation: chosen as it is, rejected with the last answer of its neighbour in place of its own."""
+    sides = preference.answer_pairs(table(spark, sf_dir, "conversations"))
     return preference.format_pairs(sides).withColumns({m: preference.mask_text(m) for m in ("chosen_mask", "rejected_mask")})
 
 
@@ -125,7 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference": op9_preference,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE: dict[str, str] = {"op5_jaccard": jaccard.oracle(), "op7_suffix_dedup": suffix_dedup.oracle(), "op9_preference": preference.oracle(), "op10_line_dedup": line_dedup.oracle()}
+ORACLE: dict[str, str] = {"op4_neighbours": neighbours.oracle(), "op5_jaccard": jaccard.oracle(), "op7_suffix_dedup": suffix_dedup.oracle(), "op9_preference": preference.oracle(), "op10_line_dedup": line_dedup.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
