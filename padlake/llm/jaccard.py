@@ -13,8 +13,10 @@ never as rows of pairs: a task returns a forest of the links it finds.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -24,9 +26,9 @@ from pyspark.sql import functions as F
 
 from padlake.llm.graph import components, saved
 from padlake.llm.memory import trimmed
-from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, range_of, sent, unpack
+from padlake.llm.shards import HEARD, SENT, blob, find_repeated, mixed, ranges_for, sent, unpack
 
-#: Bytes of text in a shard; texts that are looked at together.
+#: Bytes of text in a shard; of a text that are cut into words at a time.
 SHARD_BYTES, PIECE = 6 << 20, 1 << 19
 #: A scheme of blocks serves sets whose sizes differ by this factor; it has so many more blocks than differences.
 SPREAD, SPARE = 1.5, 0.34
@@ -34,58 +36,53 @@ SPREAD, SPARE = 1.5, 0.34
 LIST_COST = 8
 #: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
 FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 19
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Words whose hashes a worker remembers, and how long they may be.
+REMEMBERED, LONG = 200_000, 40
+WHITE = re.compile(rb"[\x09-\x0d ]")
 
 
 # Sets
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """For each text the ascending distinct hashes of its n-word shingles; of all its words if it has fewer; none without words.
+class _Words(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_words = _Words()
 
-    Words are runs of anything but white space (bytes 9 to 13 and 32), A-Z lower-cased.
-    """
-    out: list[np.ndarray] = []
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
-            size += len(texts[end]) + 1
-            end += 1
-        out += _sets_of(texts[at:end], n)
-        at = end
-    return out
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """Of its words, in order: runs of anything but white space (bytes 9 to 13 and 32), A-Z lower-cased."""
+    found, at = [np.zeros(0, np.uint64)], 0
+    while at < len(text):
+        end = WHITE.search(text, at + PIECE)
+        words = text[at : end.start() if end else len(text)].lower().split()
+        found.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
+        at = end.end() if end else len(text)
+    return np.concatenate(found)
 
-def _sets_of(texts: list[bytes], n: int) -> list[np.ndarray]:
-    raw = np.frombuffer((b"\n".join(texts) + b"\n").lower(), np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    white = _WHITE[raw]
-    change = np.flatnonzero(white[1:] != white[:-1]) + 1
-    bounds = change if white[0] else np.concatenate([[0], change])
-    first, last = bounds[0::2], bounds[1::2]
-    if len(first) == 0:
-        return [np.zeros(0, np.uint64)] * len(texts)
-    words = Hashes(raw).parts(first, last[: len(first)])
-    owner = np.searchsorted(ends, first, "right")
-    count = np.bincount(owner, minlength=len(texts))
-    h = np.zeros(max(len(words) - n + 1, 0), np.uint64)
-    for j in range(n):
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the ascending distinct hashes of its n-word shingles; of all its words if it has fewer; none without words."""
+    return [_set_of(word_hashes(t), n) for t in texts]
+
+
+def _set_of(words: np.ndarray, n: int) -> np.ndarray:
+    c = len(words)
+    if not c:
+        return words
+    h = np.zeros(max(c - n + 1, 1), np.uint64)
+    for j in range(min(n, c)):
         h = mixed(h + words[j : j + len(h)] * np.uint64(0x9E3779B97F4A7C15))
-    start = np.cumsum(count) - count
-    out = []
-    for s, c in zip(start.tolist(), count.tolist()):
-        if c >= n:
-            out.append(np.unique(h[s : s + c - n + 1]))
-        elif c:
-            x = np.zeros(1, np.uint64)
-            for j in range(c):
-                x = mixed(x + words[s + j : s + j + 1] * np.uint64(0x9E3779B97F4A7C15))
-            out.append(mixed(x + np.uint64(c)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    return np.unique(h) if c >= n else mixed(h + np.uint64(c))
 
 
 def prints(s: np.ndarray) -> tuple[int, int]:
@@ -388,7 +385,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, per
     classes = found.where("size > 0").groupBy("a", "b").agg(F.min(F.struct("doc", "shard")).alias("f")).select("a", "b", F.col("f.doc").alias("first"), F.col("f.shard").alias("shard"))
     classes = saved(classes)
     firsts = classes.select("shard", F.col("first").alias("doc"), "a", "b")
-    entered = dealt.cogroup(firsts.groupBy("shard")).applyInArrow(trimmed(_send_entries(n, percent, shards)), SENT)
+    entered = dealt.cogroup(firsts.groupBy("shard")).applyInArrow(trimmed(_send_entries(n, percent, ranges_for(shards))), SENT)
     heard = entered.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD)
     news = firsts.unionByName(heard, allowMissingColumns=True)
     members = saved(dealt.cogroup(news.groupBy("shard")).applyInArrow(trimmed(_members(n, percent)), _MEMBERS))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+#: Shards whose hashes share a range, so that a shard sends few rows and a range fits a task.
+RANGE_SHARDS = 8
 _SYMBOLS = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -25,23 +27,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes modulo 2**64 of any part of some bytes."""
+    """Hashes of parts of some bytes: of all grams of a size, rolling, modulo 2**64; of any parts, word by word."""
 
     _up, _down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def __init__(self, raw: np.ndarray):
-        if len(raw) + 1 > len(Hashes._up):
-            n = max(len(raw) + 1, _ROOM)
-            Hashes._up, Hashes._down = _powers(_BASE, n), _powers(_INVERSE, n)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_SYMBOLS[raw] * Hashes._up[: len(raw)], out=self.sums[1:])
+        self.raw = raw
+        self._words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), 0, (1,))
 
     def grams(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mixed((self.sums[size:] - self.sums[:n]) * Hashes._down[:n])
+        """Polynomials, which may be equal by construction for unlike grams of many bytes: only to deal by, and to choose."""
+        n = len(self.raw)
+        if n + 1 > len(Hashes._up):
+            Hashes._up, Hashes._down = _powers(_BASE, max(n + 1, _ROOM)), _powers(_INVERSE, max(n + 1, _ROOM))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_SYMBOLS[self.raw] * Hashes._up[:n], out=sums[1:])
+        return mixed((sums[size:] - sums[: n + 1 - size]) * Hashes._down[: n + 1 - size])
 
     def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * Hashes._down[start] + (end - start).astype(np.uint64))
+        """Of each part, eight bytes at a time, every step a bijection of what it had so far."""
+        size = end - start
+        h = mixed(size.astype(np.uint64) + np.uint64(_BASE))
+        for k in range(0, int(size.max(initial=0)), 8):
+            live = np.flatnonzero(size > k)
+            left = np.minimum(size[live] - k, 8).astype(np.uint64)
+            word = self._words[start[live] + k] & (~np.uint64(0) >> (np.uint64(64) - left * np.uint64(8)))
+            h[live] = mixed((h[live] + np.uint64(_BASE)) ^ mixed(word + np.uint64(k)))
+        return h
 
 
 def blob(x: np.ndarray) -> bytes:
@@ -68,11 +80,15 @@ SENT = "shard int, range int, grams binary, counts binary"
 HEARD = "shard int, grams binary, counts binary"
 
 
+def ranges_for(shards: int) -> int:
+    return -(-shards // RANGE_SHARDS)
+
+
 def sent(shard: int, hashes: np.ndarray, ranges: int) -> pa.Table:
     """A row for each range that some of the hashes are in: the distinct ones, ascending, and how often each is there."""
     grams, counts = np.unique(hashes, return_counts=True)
     edge = np.searchsorted(range_of(grams, ranges), np.arange(ranges + 1))
-    rows = [k for k in range(ranges) if edge[k] < edge[k + 1]]
+    rows = np.flatnonzero(np.diff(edge)).tolist()
     return pa.table({
         "shard": pa.array([shard] * len(rows), pa.int32()),
         "range": pa.array(rows, pa.int32()),

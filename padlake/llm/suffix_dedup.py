@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.memory import trimmed
-from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, pack, range_of, sent, unpack
+from padlake.llm.shards import HEARD, SENT, Hashes, blob, find_repeated, mixed, pack, range_of, ranges_for, sent, unpack
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a shard, or one document; strings that are looked at together.
@@ -238,6 +238,28 @@ def _send_anchors(length: int, ranges: int):
     return send
 
 
+def _distinct(hashes: np.ndarray, grams: np.ndarray, sizes: np.ndarray, body) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): the first context of each of the distinct ones, and for each context which of those it is; equal hashes are looked into."""
+    order = np.lexsort((sizes, hashes, grams))
+    new = np.ones(len(order), bool)
+    for column in (hashes, grams, sizes):
+        if column is hashes:
+            new[1:] = column[order][1:] != column[order][:-1]
+        else:
+            new[1:] |= column[order][1:] != column[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new].tolist()
+    others: dict[tuple[int, bytes], int] = {}
+    for i in order[~new].tolist():
+        if (b := body(i)) != body(first[which[i]]):
+            k = others.setdefault((int(which[i]), b), len(first))
+            if k == len(first):
+                first.append(i)
+            which[i] = k
+    return np.array(first, np.int64), which
+
+
 _CONTEXTS = "shard int, range int, hot binary, bodies binary, sizes binary, grams binary, hashes binary, least binary, most binary"
 
 
@@ -249,8 +271,8 @@ def _send_contexts(length: int, ranges: int):
         often = np.sort(often)
         texts, doc, numbered = _texts(table) if len(often) else ([], np.zeros(0, np.int64), np.zeros(0, bool))
         texts = [t if ok else b"" for t, ok in zip(texts, numbered)]
-        hashes, grams, owners, bodies = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
-        known: set[int] = set()
+        hashes, grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        known: dict[int, bytes] = {}
         for p in _pieces(texts, length):
             low, high, owner, gram, h = _runs(p, np.flatnonzero(_found(p.gram, often)), hot, length)
             end = high + length
@@ -259,19 +281,18 @@ def _send_contexts(length: int, ranges: int):
             owners.append(doc[p.texts[owner]])
             raw = p.raw.tobytes()
             for x, a, b in zip(h.tolist(), low.tolist(), end.tolist()):
-                if x not in known:
-                    known.add(x)
-                    bodies.append((x, raw[a:b]))
+                if known.setdefault(x, body := raw[a:b]) != body:
+                    raise RuntimeError("two contexts of a shard have one hash")
         h, g, o = np.concatenate(hashes), np.concatenate(grams), np.concatenate(owners)
         order = np.lexsort((o, h))
         h, g, o = h[order], g[order], o[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         least, most, h, g = o[first], o[np.concatenate([first[1:], [len(o)]]) - 1] if len(first) else o[first], h[first], g[first]
-        bodies = [b for _, b in sorted(bodies)]
+        bodies = [known[x] for x in h.tolist()]
         order = np.lexsort((h, g))
         r = range_of(g[order], ranges)
         edge = np.searchsorted(r, np.arange(ranges + 1))
-        rows = [k for k in range(ranges) if edge[k] < edge[k + 1]]
+        rows = np.flatnonzero(np.diff(edge)).tolist()
         some = [order[edge[k] : edge[k + 1]] for k in rows]
         return pa.table({
             "shard": pa.array([key[0].as_py()] * len(rows), pa.int32()),
@@ -294,9 +315,8 @@ def _answer(length: int):
         packed = zip(table["bodies"].to_pylist(), table["sizes"].to_pylist())
         bodies = b"".join(pa.decompress(b, int(np.frombuffer(n, np.uint16).sum()), "zstd", asbytes=True) for b, n in packed)
         ends = np.cumsum(sizes)
-        # Contexts that several shards have are one, of their smallest document.
-        _, first, which = np.unique(np.stack([hashes, grams]), axis=1, return_index=True, return_inverse=True)
-        which = which.ravel()
+        # Contexts that several shards have, byte for byte, are one, of their smallest document.
+        first, which = _distinct(hashes, grams, sizes, lambda i: bodies[ends[i] - sizes[i] : ends[i]])
         owner = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(owner, which, least)
         _, at, per_gram = np.unique(grams[first], return_inverse=True, return_counts=True)
@@ -401,7 +421,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     shards = max(1, -(-total // shard_bytes))
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("doc", "text"), F.lit(shards)).cast("int"))
     dealt = docs.groupBy("shard")
-    anchors = dealt.applyInArrow(trimmed(_send_anchors(length, shards)), SENT)
+    anchors = dealt.applyInArrow(trimmed(_send_anchors(length, ranges_for(shards))), SENT)
     repeated = anchors.groupBy("range").applyInArrow(trimmed(find_repeated), HEARD)
     contexts = dealt.cogroup(repeated.groupBy("shard")).applyInArrow(trimmed(_send_contexts(length, shards)), _CONTEXTS)
     answers = contexts.groupBy("range").applyInArrow(trimmed(_answer(length)), "shard int, hot binary, hashes binary, low binary, high binary, least binary")

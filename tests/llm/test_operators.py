@@ -530,3 +530,131 @@ def test_preference(spark):
     assert (got[1].n_common, got[1].chosen_text, got[1].rejected_text) == (1, "", "")
     assert got[2].rejected_text == "" and got[2].chosen_text.startswith("<|system|>")
     assert preference.format_pairs(preference.pairs(df.limit(0), F.expr("conv_id div 2"), F.col("conv_id") % 2 != 0)).count() == 0
+
+
+def test_preference_of_answers(spark):
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"),
+        (1, 0, "user", "x"), (1, 1, "assistant", "c"), (2, 0, "assistant", "alone"), (4, 0, "user", "no answer"), (5, 0, "assistant", "d"), (None, 0, "user", "x"),
+        (-1, 0, "assistant", "e"), (-2, 0, "assistant", "f"),
+    ]
+    df = spark.createDataFrame([(*t, "q") for t in turns], "conv_id long, turn long, role string, text string, prompt string")
+    got = {r.pair_id: r for r in preference.format_pairs(preference.answer_pairs(df)).collect()}
+    assert sorted(got) == [-2, -1, 0, 1, 2, 4, 5]
+    assert got[0].n_common == 3 and got[0].prompt.endswith("more<|end|>\n")
+    assert got[0].chosen_text == "<|assistant|>\nb<|end|>\n<|user|>\nbye<|end|>\n" and got[0].rejected_text == "<|assistant|>\nc<|end|>\n<|user|>\nbye<|end|>\n"
+    assert got[1].rejected_text == "<|assistant|>\nb<|end|>\n" and got[2].rejected_text == "<|assistant|>\n<|end|>\n"
+    assert got[4].n_common == 1 and got[4].chosen_text == "" and got[5].rejected_text == "<|assistant|>\n<|end|>\n"
+    assert got[-1].rejected_text == "<|assistant|>\nf<|end|>\n"
+
+
+def test_preference_token_masks(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    theirs = tokenizers.Tokenizer.from_file(path)
+    long = prose(random.Random(1), 30_000)
+    turns = [(0, 0, "user", "hé  there"), (0, 1, "assistant", "an 🙂 answer"), (0, 2, None, "x"), (1, 0, "assistant", long), (3, 0, "assistant", "")]
+    df = preference.format_pairs(preference.answer_pairs(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")))
+    for r in preference.token_masks(df, path).collect():
+        ids = lambda t: theirs.encode(t, add_special_tokens=False).ids
+        assert r.prompt_ids == ids(r.prompt)
+        for text, mask, got, learn in ((r.chosen_text, r.chosen_mask, r.chosen_ids, r.chosen_learn), (r.rejected_text, r.rejected_mask, r.rejected_ids, r.rejected_learn)):
+            at, want = 0, []
+            for run in mask:
+                want += [(i, run.learn) for i in ids(text[at : at + run.n_chars])]
+                at += run.n_chars
+            assert at == len(text) and list(zip(got, learn)) == want
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """400 rows of one id near the query hide none of the others."""
+    rng = np.random.default_rng(3)
+    q = rng.normal(size=8)
+    rows = [(0, q.tolist())] + [(1, (q + 0.01 * rng.normal(size=8)).tolist()) for _ in range(400)] + [(k, rng.normal(size=8).tolist()) for k in range(2, 45)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    got = [r.vec_id for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    cos = {}
+    for k, v in rows[1:]:
+        cos[k] = max(cos.get(k, -2), float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)))
+    assert got == sorted(cos, key=lambda k: -cos[k])[:5]
+
+
+@pytest.mark.parametrize("size", [1e-200, 1e200, 1e-310])
+def test_neighbours_of_any_size(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.normal(size=6) * size).tolist()) for k in range(40)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    x = np.array([np.array(v) / size for _, v in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [k for k in np.argsort(-(u @ u[0])).tolist() if k][:5]
+    assert [r.vec_id for r in got] == want and all(np.isfinite(r.score) for r in got)
+
+
+def test_neighbours_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, rng.normal(size=8).tolist()) for k in range(300)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 5 == 0).collect()))
+    monkeypatch.setattr(neighbours, "QUERY_BYTES", 8 * 8 * 9)
+    monkeypatch.setattr(neighbours, "ROWS", 64)
+    assert sorted(map(tuple, neighbours.search(df, F.col("vec_id") % 5 == 0, reranked=10).collect())) == whole and len(whole) == 300
+
+
+def test_codes_alone_find_neighbours():
+    """20,000 vectors: the best 1 % by code have nine in ten of the five nearest."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(200, 24))
+    x = neighbours.unit(centres[rng.integers(0, 200, 20_000)] + 0.5 * rng.normal(size=(20_000, 24)))
+    books = neighbours.train(x[:4000], 12, 64)
+    codes = books.encode(x)
+    size = (books.decode(codes) ** 2).sum(1)
+    hits = 0
+    for q in range(0, 20_000, 1000):
+        cos = x.astype(float) @ x[q]
+        table = books.words @ x[q]
+        near = 2 * sum(table[m][codes[:, m]] for m in range(codes.shape[1])) - size
+        cos[q] = near[q] = -9
+        hits += len(set(np.argsort(-cos)[:5].tolist()) & set(np.argsort(-near)[:200].tolist()))
+    assert hits >= 0.9 * 5 * 20
+
+
+# Hashes
+
+
+def _thue_morse(n, letters):
+    return bytes(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    """Words that polynomials modulo a power of two can't tell apart, whatever their base."""
+    a, b = _thue_morse(2048, b"ab"), _thue_morse(2048, b"ba")
+    raw = np.frombuffer(a + b, np.uint8)
+    h = shards.Hashes(raw).parts(np.array([0, 2048, 0]), np.array([2048, 4096, 2047]))
+    assert len(set(h.tolist())) == 3
+    docs = spark.createDataFrame([(1, a.decode()), (2, b.decode()), (3, a.decode().upper())], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs, n=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_words_of_long_texts_in_parts(monkeypatch):
+    text = " ".join(f"W{k % 97}\x0b\x0c" for k in range(3000)).encode() + "\x85 É\u00a0é ".encode()
+    whole = jaccard.word_hashes(text)
+    monkeypatch.setattr(jaccard, "PIECE", 10)
+    assert (jaccard.word_hashes(text) == whole).all() and len(whole) == len(helpers.WORD.findall(text.decode())) == 3000 + 2
+
+
+@pytest.mark.parametrize("n", [10, 100, 1000])
+def test_messages_grow_with_what_is_sent(n):
+    """A shard sends at most a row for each range, of which there are fewer than shards, and never more rows than hashes."""
+    h = shards.mixed(np.arange(5000, dtype=np.uint64)) >> np.uint64(16)
+    ranges = shards.ranges_for(n)
+    assert ranges <= n // shards.RANGE_SHARDS + 1
+    assert shards.sent(3, h, ranges).num_rows <= ranges and shards.sent(3, h[:20], ranges).num_rows <= 20
+
+
+def test_contexts_with_one_hash_are_compared():
+    """Contexts of equal hashes but other bytes stay apart."""
+    bodies = [b"a" * 60, b"b" * 60, b"a" * 60, b"b" * 60, b"c" * 61]
+    one = np.zeros(5, np.uint64)
+    first, which = suffix_dedup._distinct(one, one, np.array([60, 60, 60, 60, 61]), bodies.__getitem__)
+    assert len(first) == 3 and which[0] == which[2] and which[1] == which[3] and len({*which.tolist()}) == 3
+    assert all(bodies[first[w]] == b for w, b in zip(which.tolist(), bodies))
