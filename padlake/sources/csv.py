@@ -32,6 +32,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None =
         raise MissingTable(path) from e
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """``df`` as such a table, replacing what was there; nulls are empty fields."""
+    df.write.mode("overwrite").option("sep", ";").option("header", True).option("quote", '"').csv(path)
+
+
 def load_keyed(spark: SparkSession, path: str, key: str, schema: str | T.StructType | None = None, where: dict[str, object] | None = None) -> DataFrame:
     """As read_csv, of rows that equal ``where`` and have a key, which becomes a long. Values that are 0 or empty count, and null equals nothing."""
     df = read_csv(spark, path, schema)
