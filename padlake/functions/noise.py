@@ -12,6 +12,7 @@ import math
 import secrets
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,12 @@ def two_sided_sql(u: str, v: str, sens: str, eps: float) -> str:
     return f"(ceil(-ln({u}) * {sens} / {float(eps)!r}) - ceil(-ln({v}) * {sens} / {float(eps)!r}))::BIGINT"
 
 
+def shifted_geometric_sql(sens: str, eps: float, delta: float, u: str, v: str) -> str:
+    """The noise of a ShiftedGeometric whose sensitivity is an SQL expression."""
+    shift = f"(ceil({sens} / {float(eps)!r} * ln(2 / {delta!r}))::BIGINT + {sens} - 1)"
+    return f"least(greatest({shift} + {two_sided_sql(u, v, sens, eps)}, 0), 2 * {shift})::BIGINT"
+
+
 @dataclass(frozen=True)
 class Laplace:
     eps: float
@@ -118,8 +125,12 @@ class Laplace:
     def value(self, u: float) -> float:
         return -self.scale * math.copysign(1, u - 0.5) * math.log(1 - 2 * abs(u - 0.5)) if u != 0.5 else 0.0
 
-    def noise_sql(self, u: str) -> str:
-        return f"(-{float(self.scale)!r} * sign({u} - 0.5) * ln(1 - 2 * abs({u} - 0.5)))"
+    def values(self, u: np.ndarray) -> np.ndarray:
+        return -self.scale * np.sign(u - 0.5) * np.log(1 - 2 * np.abs(u - 0.5))
+
+    def noise_sql(self, u: str, scale: str | None = None) -> str:
+        """``scale``: SQL of another scale than the mechanism's own."""
+        return f"(-{scale or repr(float(self.scale))} * sign({u} - 0.5) * ln(1 - 2 * abs({u} - 0.5)))"
 
     def seal(self, load: float, threshold: float) -> float:
         """The chance that noise lifts ``load`` over ``threshold``."""
@@ -154,8 +165,11 @@ class BoundedLaplace(Laplace):
     def value(self, u: float) -> float:
         return min(max(super().value(u), -self.bound), self.bound)
 
-    def noise_sql(self, u: str) -> str:
-        return f"least(greatest({super().noise_sql(u)}, {-self.bound!r}), {self.bound!r})"
+    def values(self, u: np.ndarray) -> np.ndarray:
+        return np.clip(super().values(u), -self.bound, self.bound)
+
+    def noise_sql(self, u: str, scale: str | None = None) -> str:
+        return f"least(greatest({super().noise_sql(u, scale)}, {-self.bound!r}), {self.bound!r})"
 
     def seal(self, load: float, threshold: float) -> float:
         d = threshold - load

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from padlake.functions.noise import Keyed, ShiftedGeometric
+from padlake.functions.noise import Keyed, ShiftedGeometric, shifted_geometric_sql
 from padlake.operators.partition import part_of
 
 DUMMY_KEY = -999
@@ -22,12 +22,13 @@ def buckets(freq: DataFrame, parts: DataFrame, domain: int, noise: ShiftedGeomet
     return padded.withColumn("n_dummy", draw)
 
 
-def buckets_sql(name: str, freq: str, parts: str, noise: ShiftedGeometric, source: Keyed, table: str) -> str:
-    """Common table expression ``name`` (part_id, start, end, n_real, n_dummy)."""
+def buckets_sql(name: str, freq: str, parts: str, noise: ShiftedGeometric | tuple[str, float, float], source: Keyed, table: str) -> str:
+    """Common table expression ``name`` (part_id, start, end, n_real, n_dummy). ``noise`` is a mechanism, or (SQL of its sensitivity, eps, delta)."""
     u, v = (source.sql("'bucket'", f"'{table}'", "p.part_id", f"'{x}'") for x in "uv")
+    drawn = noise.noise_sql(u, v) if isinstance(noise, ShiftedGeometric) else shifted_geometric_sql(*noise, u, v)
     return f"""
     {name} AS (
-        SELECT p.part_id, p.start, p."end", coalesce(sum(f.freq), 0)::BIGINT AS n_real, any_value({noise.noise_sql(u, v)}) AS n_dummy
+        SELECT p.part_id, p.start, p."end", coalesce(sum(f.freq), 0)::BIGINT AS n_real, any_value({drawn}) AS n_dummy
         FROM {parts} p LEFT JOIN {freq} f ON f.key BETWEEN p.start AND p."end" GROUP BY p.part_id, p.start, p."end")"""
 
 

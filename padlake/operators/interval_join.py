@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from padlake.functions.metadata import JoinMeta
-from padlake.functions.noise import Keyed, ShiftedGeometric
+from padlake.functions.noise import Keyed, ShiftedGeometric, shifted_geometric_sql
 from padlake.operators.frequency import joined_freq
+from padlake.operators.held import cut, held
 from padlake.operators.partition import part_of
 
 
@@ -79,7 +80,7 @@ def padded_join(a: Side, b: Side, merge: int, noise: ShiftedGeometric, source: K
     Without ``metas`` all that is drawn is added. With them a batch of real rows and dummies stays at the bound
     min(a_freq * met of b, b_freq * met of a), or at its real rows where these are more: no real row is ever cut.
     """
-    freq = joined_freq(a.freq, b.freq).cache()
+    freq = held(joined_freq(a.freq, b.freq))
     p = pairs(a.buckets, b.buckets, merge)
     batch = p.groupBy("batch").agg(
         F.min("start").alias("start"),
@@ -98,8 +99,8 @@ def padded_join(a: Side, b: Side, merge: int, noise: ShiftedGeometric, source: K
         bound = F.least(F.lit(metas[0].a).cast("decimal(19,0)") * wide("b_met").cast("decimal(18,0)"), F.lit(metas[1].a).cast("decimal(19,0)") * wide("a_met").cast("decimal(18,0)"))
         dummies = F.greatest(F.least(wide("real") + wide("drawn"), bound.cast("decimal(38,0)")) - wide("real"), F.lit(0).cast("decimal(38,0)")).cast("long")
     batch = batch.withColumn("n_dummy", dummies)
-    # Metadata, used by the next join and by the costs; its noise is keyed, so that a lost copy comes back the same.
-    batch = batch.select("part_id", "start", "end", "compared", "real", "drawn", "n_dummy").cache()
+    # Metadata, used by the next join and by the costs.
+    batch = cut(batch.select("part_id", "start", "end", "compared", "real", "drawn", "n_dummy"))
     buckets = batch.select("part_id", "start", "end", F.col("real").alias("n_real"), "n_dummy")
     return Side(freq, buckets, a.domain), batch
 
@@ -183,13 +184,7 @@ def padded_join_sql(name: str, a: str, b: str, merge: int, noise: ShiftedGeometr
     frequency bounds; ``noise`` is a mechanism, or (SQL of its sensitivity, eps, delta).
     """
     u, v = (source.sql("'batch'", f"'{tag}'", "batch", f"'{x}'") for x in "uv")
-    if isinstance(noise, ShiftedGeometric):
-        drawn = noise.noise_sql(u, v)
-    else:
-        sens, eps, delta = noise
-        shift = f"(ceil({sens} / {float(eps)!r} * ln(2 / {delta!r}))::BIGINT + {sens} - 1)"
-        two = f"(ceil(-ln({u}) * {sens} / {float(eps)!r}) - ceil(-ln({v}) * {sens} / {float(eps)!r}))::BIGINT"
-        drawn = f"least(greatest({shift} + {two}, 0), 2 * {shift})::BIGINT"
+    drawn = noise.noise_sql(u, v) if isinstance(noise, ShiftedGeometric) else shifted_geometric_sql(*noise, u, v)
     bound = f"least({metas[0]}::HUGEINT * b_met, {metas[1]}::HUGEINT * a_met)" if metas else "NULL"
     dummies = f"greatest(least(n_real::HUGEINT + drawn, {bound}) - n_real, 0)::BIGINT" if metas else "drawn"
     return f"""

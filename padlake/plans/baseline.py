@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padlake.functions.metadata import PRESETS
+from padlake.functions.noise import ShiftedGeometric
+from padlake.operators.bucket import buckets
 from padlake.operators.frequency import key_freq, keyed, multi_key_max_freq
-from padlake.plans.routes import Route
+from padlake.operators.held import held
+from padlake.operators.partition import PrivateScan, private_parts_precut
+from padlake.plans.routes import SOURCE, Route
 from padlake.sources import generators
 
 DOMAIN = 1_000_000
@@ -30,7 +34,7 @@ def fk(spark: SparkSession) -> DataFrame:
     """The chain T1(A, B), T2(B, C), T3(C, D) on B, then on C, 100k, 80k and 60k rows."""
     budget, merges = PRESETS["fk"]
     t1, t2, t3 = generators.fk_tables(spark, DOMAIN, 100_000, 80_000, 60_000)
-    first, t2 = _freq(t1, "B"), t2.cache()
+    first, t2 = _freq(t1, "B"), held(t2)
 
     def rekey(joined: DataFrame) -> DataFrame:
         kept = t2.join(first.withColumnsRenamed({"key": "B", "freq": "times"}), "B")
@@ -47,7 +51,16 @@ def two_way_uniform(spark: SparkSession) -> DataFrame:
     return Route("two_way_c", "uniform", budget, merges, DOMAIN, True).same_key({n: _freq(t, "Key") for n, t in zip("AB", tables)}).side.buckets
 
 
+def partition_and_pad(spark: SparkSession, domain: int = 100_000_000, rows: int = 1_000_000, eps: float = 1.0, delta: float = 1e-9, pieces: int = 8) -> DataFrame:
+    """A million rows in a domain of 10**8, private intervals by the clamped scan, in pieces side by side, and padding; half the budget for each."""
+    f = held(key_freq(keyed(generators.clustered_keys(spark, domain, rows), F.col("key"), domain)))
+    scan = PrivateScan.clamped(eps / 2, delta / 2, domain)
+    parts = private_parts_precut(f, scan, SOURCE, "large", pieces)
+    return buckets(f, parts, domain, ShiftedGeometric(eps / 2, delta / 2), SOURCE, "large")
+
+
 EXPERIMENTS = {
+    "partition_and_pad": partition_and_pad,
     "synthetic_fk": fk,
     "synthetic_same_key_a": lambda spark: same_key(spark, "a"),
     "synthetic_same_key_b": lambda spark: same_key(spark, "b"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from padlake.operators.frequency import key_freq, keyed
 from padlake.sources.tables import table
 
-DOMAIN = 20_000
+#: The public range of customers' and orders' keys, which larger data have to declare; a key beyond it is an error.
+DOMAIN = int(os.environ.get("PADLAKE_DOMAIN", 20_000))
+ORDER_DOMAIN = int(os.environ.get("PADLAKE_ORDER_DOMAIN", 200_000))
 
 #: Table, key, filter, as SQL that both engines read.
 TABLES = {
@@ -24,7 +28,13 @@ TABLES = {
 def rows(spark: SparkSession, sf_dir: str, name: str, domain: int = DOMAIN) -> DataFrame:
     source, key, where = TABLES[name]
     df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").distinct() if name == "disp" else table(spark, sf_dir, source)
-    return keyed(df.where(where), F.col(key) + 1, domain)
+    return keyed(df.where(where), declared(F.col(key) + 1, domain), domain)
+
+
+def declared(key: Column, domain: int) -> Column:
+    """``key``, which must lie in [1, domain] or be null: a row outside of what is declared is reported, not dropped."""
+    outside = F.raise_error(F.concat(F.lit("key "), key.cast("string"), F.lit(f" is outside the declared domain 1..{domain}")))
+    return F.when(key.isNull() | key.between(1, domain), key).otherwise(outside.cast("long"))
 
 
 def freq(spark: SparkSession, sf_dir: str, name: str, domain: int = DOMAIN) -> DataFrame:

@@ -13,9 +13,9 @@ from padlake.functions.noise import Keyed, ShiftedGeometric
 from padlake.operators import bucket, frequency, interval_join, partition
 from padlake.operators.interval_join import Side
 from padlake.operators.tables import join_tables
-from padlake.plans.inputs import DOMAIN, freq, freq_sql, freqs, rows
+from padlake.plans.inputs import DOMAIN, ORDER_DOMAIN, declared, freq, freq_sql, freqs, rows
 from padlake.plans.private_queries import named
-from padlake.plans.routes import Route, Run
+from padlake.plans.routes import Route
 from padlake.sources.tables import table
 
 SOURCE = Keyed()
@@ -115,31 +115,12 @@ ROUTES = {
 }
 
 
-def _plain_sql(tables: tuple[str, ...]) -> str:
-    joined = tables[0] + "_freq" + "".join(f" JOIN {t}_freq USING (key)" for t in tables[1:])
-    return f"SELECT coalesce(sum({' * '.join(f'{t}_freq.freq' for t in tables)}), 0)::BIGINT AS n_real FROM {joined}"
-
-
-def invariants(run: Run, domain: int = DOMAIN) -> DataFrame:
-    """One row (n_real, tiles, padded): the real rows in all, whether the last intervals tile the domain, whether no batch lost a row."""
-    b = run.side.buckets
-    return b.agg(
-        F.sum("n_real").alias("n_real"),
-        ((F.min("start") == 1) & (F.max("end") == domain) & (F.sum(F.col("end") - F.col("start") + 1) == domain)).alias("tiles"),
-        (F.min("n_dummy") >= 0).alias("padded"),
-    )
-
-
 def _route_query(name: str, route: Route, tables: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        done = route.same_key(freqs(spark, sf_dir, *tables))
-        return invariants(done) if route.kind == "repartitioned" else named(done.side.buckets)
+        return named(route.same_key(freqs(spark, sf_dir, *tables)).side.buckets)
 
     run.__name__ = name
-    run.__doc__ = f"The {route.kind} route over {', '.join(tables)}: " + ("what must hold of its result." if route.kind == "repartitioned" else "its last batches.")
-    if route.kind == "repartitioned":
-        # The new partitions' noise follows from noisy metadata; what they must hold doesn't.
-        return query(f"WITH {freq_sql(*tables)} SELECT n_real, true AS tiles, true AS padded FROM ({_plain_sql(tables)})")(run)
+    run.__doc__ = f"The last batches of the {route.kind} route over {', '.join(tables)}."
     return query(f"{route.same_key_sql(freq_sql(*tables), list(tables))} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM j{len(tables) - 2}")(run)
 
 
@@ -155,31 +136,24 @@ def _cost_query(name: str, route: Route, tables: tuple[str, ...]):
     run.__doc__ = f"Comparisons, scans and sorts of the {route.kind} route over {', '.join(tables)}."
     joins = range(len(tables) - 1)
     every = " UNION ALL ".join(f"SELECT compared, n_real + n_dummy AS padded FROM j{k}" for k in joins)
-    return query(f"""{route.same_key_sql(freq_sql(*tables), list(tables))}, every AS ({every})
-        SELECT kind, total::BIGINT AS total FROM (
+    again = "SELECT NULL AS n_in, NULL AS n_out WHERE false"
+    if route.kind == "repartitioned":
+        again = " UNION ALL ".join(f"SELECT (SELECT sum(n_real + n_dummy) FROM j{k - 1}) AS n_in, (SELECT sum(n_real + n_dummy) FROM again{k}) AS n_out" for k in joins if k)
+    return query(f"""{route.same_key_sql(freq_sql(*tables), list(tables))}, every AS ({every}), again AS ({again})
+        SELECT kind, sum(total)::BIGINT AS total FROM (
             SELECT 'pairs' AS kind, sum(compared) AS total FROM every UNION ALL
             SELECT 'scan', sum(compared + padded) FROM every UNION ALL
-            SELECT 'sort', sum(compared + padded) FROM every)""")(run)
+            SELECT 'sort', sum(compared + padded) FROM every UNION ALL
+            SELECT 'partition', n_in FROM again UNION ALL
+            SELECT 'scan', n_out FROM again UNION ALL
+            SELECT 'sort', n_in + n_in + n_out FROM again) GROUP BY kind""")(run)
 
 
 _cost_query("cost_totals_a", *ROUTES["padded_q5_a"])
+_cost_query("cost_totals_b", *ROUTES["padded_q5_b"])
 _cost_query("cost_totals_c", *ROUTES["padded_q5_c"])
 
 
-@query("SELECT true AS sort_adds_up, true AS scan_adds_up, true AS partition_is_input")
-def cost_invariants_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the costs of the repartitioned route must add up."""
-    route, tables = ROUTES["padded_q5_b"]
-    done = route.same_key(freqs(spark, sf_dir, *tables))
-    costs = done.costs().cache()
-    total = {(r.stage, r.kind): r.total for r in costs.groupBy("stage", "kind").agg(F.sum("size").cast("long").alias("total")).collect()}
-    size2 = [b.agg(F.sum(F.col("real") + F.col("n_dummy")).alias("n")).first().n for b in done.batches]
-    n_in, n_out = total["again1", "partition"], total["again1", "scan"]
-    kinds = {k: sum(v for (_, kind), v in total.items() if kind == k) for k in ("pairs", "sort", "scan")}
-    row = (kinds["sort"] == kinds["pairs"] + sum(size2) + n_in + n_in + n_out, kinds["scan"] == kinds["pairs"] + sum(size2) + n_out, n_in == size2[0])
-    return spark.createDataFrame([row], "sort_adds_up boolean, scan_adds_up boolean, partition_is_input boolean")
-
-
 @query(f"WITH {freq_sql('account', 'trans', 'urgent')} SELECT key, (account_freq.freq * trans_freq.freq * urgent_freq.freq)::BIGINT AS freq FROM account_freq JOIN trans_freq USING (key) JOIN urgent_freq USING (key)")
 def count_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of a three-way join, without its rows."""
@@ -199,11 +173,25 @@ for _name, (_r, _tables) in _COUNTS.items():
 # The chain over two keys: customers, orders, lines
 
 
-def _chain(spark: SparkSession, sf_dir: str) -> Run:
-    domain = 200_000
+def _fk_route() -> Route:
     budget, merges = PRESETS["fk"]
-    route = Route("fk", "repartitioned", budget, merges, domain)
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1).alias("b"), (F.col("o_orderkey") + 1).alias("c"))
+    return Route("fk", "repartitioned", budget, merges, ORDER_DOMAIN)
+
+
+_CHAIN_SQL = _fk_route().chain_sql(
+    f"""first_freq AS (SELECT (c_custkey + 1)::BIGINT AS key, count(*)::BIGINT AS freq FROM customer GROUP BY c_custkey),
+    bridge_freq AS (SELECT (o_custkey + 1)::BIGINT AS key, count(*)::BIGINT AS freq FROM orders GROUP BY o_custkey),
+    last_freq AS (SELECT (l_orderkey + 1)::BIGINT AS key, count(*)::BIGINT AS freq FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)""",
+    "SELECT greatest((SELECT max(freq) FROM bridge_freq), (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey)), 1) AS m",
+    "SELECT (o_orderkey + 1)::BIGINT AS key, sum(f.freq)::BIGINT AS freq FROM orders JOIN first_freq f ON f.key = o_custkey + 1 GROUP BY o_orderkey",
+)
+
+
+@query(f"{_CHAIN_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM j1")
+def padded_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last batches of a chain of joins on two keys, customers, orders and lines, with a key switch between."""
+    domain = ORDER_DOMAIN
+    orders = table(spark, sf_dir, "orders").select(declared(F.col("o_custkey") + 1, domain).alias("b"), declared(F.col("o_orderkey") + 1, domain).alias("c"))
     customers, lines = freq(spark, sf_dir, "account", domain), freq(spark, sf_dir, "lines", domain)
     bridge = frequency.key_freq(frequency.keyed(orders, F.col("b"), domain))
 
@@ -211,19 +199,13 @@ def _chain(spark: SparkSession, sf_dir: str) -> Run:
         kept = frequency.keyed(orders, F.col("c"), domain).join(customers.select(F.col("key").alias("b"), F.col("freq").alias("times")), "b")
         return kept.groupBy("key").agg(F.sum("times").cast("long").alias("freq"))
 
-    return route.chain(customers, bridge, lines, rekey, frequency.multi_key_max_freq(orders, [F.col("b"), F.col("c")]))
-
-
-@query("SELECT count(*)::BIGINT AS n_real, true AS tiles, true AS padded FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
-def padded_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of joins on two keys, with a key switch between."""
-    return invariants(_chain(spark, sf_dir), 200_000)
+    return named(_fk_route().chain(customers, bridge, lines, rekey, frequency.multi_key_max_freq(orders, [F.col("b"), F.col("c")])).side.buckets)
 
 
 # Rows
 
 
-@query("SELECT o_orderkey, event_id, value FROM orders JOIN events ON o_custkey = user_id WHERE o_orderpriority = '1-URGENT' AND event_type = 'click' AND o_custkey + 1 BETWEEN 1 AND 20000")
+@query("SELECT o_orderkey, event_id, value FROM orders JOIN events ON o_custkey = user_id WHERE o_orderpriority = '1-URGENT' AND event_type = 'click'")
 def joined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real rows of a padded join."""
     return interval_join.joined_rows(rows(spark, sf_dir, "urgent"), rows(spark, sf_dir, "trans")).select("o_orderkey", "event_id", "value")

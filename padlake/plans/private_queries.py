@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from padlake.functions.metadata import JoinMeta, meta_sql
 from padlake.functions.noise import BoundedLaplace, Keyed, Laplace, ShiftedGeometric
 from padlake.operators import bucket, frequency, partition
+from padlake.operators.held import held
 from padlake.operators.partition import PrivateScan
 from padlake.operators.tables import Table
 from padlake.plans.inputs import DOMAIN, freq, freq_sql, freqs, rows
@@ -178,7 +179,7 @@ def materialized_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.groupBy("part_id", F.when(F.col("is_dummy"), "dummy").otherwise("real").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey + 1 BETWEEN 1 AND 20000")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'")
 def extracted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes back when the dummies go again."""
     return bucket.real_rows(bucket.padded_rows(rows(spark, sf_dir, "urgent"), _buckets(spark, sf_dir), DOMAIN)).select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -202,13 +203,16 @@ _SINGLE_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sq
 @query(f"{_SINGLE_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table from rows to padded private buckets."""
-    f = freq(spark, sf_dir, "urgent").cache()
+    f = held(freq(spark, sf_dir, "urgent"))
     return named(bucket.buckets(f, partition.private_parts(f, SCANS["clamped"], SOURCE, "urgent"), DOMAIN, PAD, SOURCE, "urgent"))
 
 
-@query("SELECT true AS tiles, count(*)::BIGINT AS n_rows FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey + 1 BETWEEN 1 AND 20000")
+PIECES = 8
+_PRECUT_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.precut_parts_sql('parts', 'urgent_freq', SCANS['offline'], SOURCE, 'urgent', PIECES)}, {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
+
+
+@query(f"{_PRECUT_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def dp_parts_precut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scans of eight pieces side by side: whether the intervals tile the domain, and the rows that they hold."""
-    f = freq(spark, sf_dir, "urgent").cache()
-    b = bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"], SOURCE, "urgent", 8), DOMAIN, PAD, SOURCE, "urgent")
-    return b.agg(((F.min("start") == 1) & (F.max("end") == DOMAIN) & (F.sum(F.col("end") - F.col("start") + 1) == DOMAIN)).alias("tiles"), F.sum("n_real").alias("n_rows"))
+    """Scans of eight pieces of the domain, side by side, and their buckets."""
+    f = held(freq(spark, sf_dir, "urgent"))
+    return named(bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"], SOURCE, "urgent", PIECES), DOMAIN, PAD, SOURCE, "urgent"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from padlake.functions.metadata import Budget, JoinMeta, meta_sql
 from padlake.functions.noise import Keyed, ShiftedGeometric
 from padlake.operators import bucket, frequency, interval_join, partition
+from padlake.operators.held import cut, held
 from padlake.operators.interval_join import Side
 
 SOURCE = Keyed()
@@ -59,7 +60,7 @@ class Route:
             parts = partition.uniform_parts(freq.sparkSession, self.domain, self.bins)
         else:
             parts = partition.private_parts(freq, partition.PrivateScan.offline(eps, delta, self.domain, sens), SOURCE, tag)
-        return Side(freq, bucket.buckets(freq, parts, self.domain, ShiftedGeometric(eps, delta, sens), SOURCE, tag).cache(), self.domain)
+        return Side(freq, cut(bucket.buckets(freq, parts, self.domain, ShiftedGeometric(eps, delta, sens), SOURCE, tag)), self.domain)
 
     def joined(self, run: Run, other: Side, k: int, metas: tuple[JoinMeta, JoinMeta]) -> JoinMeta:
         """One more join of the run; returns the metadata of its result."""
@@ -73,7 +74,7 @@ class Route:
     def same_key(self, tables: dict[str, DataFrame]) -> Run:
         """A left-deep chain over tables of one key; ``tables``: name to keyed histogram, in join order, which noise depends on."""
         names = list(tables)
-        freqs = {t: f.cache() for t, f in tables.items()}
+        freqs = {t: held(f) for t, f in tables.items()}
         metas = {t: self.meta(f, t) for t, f in freqs.items()}
         run, meta = Run(self.prepared(freqs[names[0]], names[0])), metas[names[0]]
         for k, t in enumerate(names[1:]):
@@ -90,41 +91,58 @@ class Route:
         ``rekey`` gives the histogram of the first join's real rows on the other key, ``bridge_max`` (max_freq) the
         larger of the bridge's frequencies on both keys.
         """
-        first, bridge, last = first.cache(), bridge.cache(), last.cache()
+        first, bridge, last = held(first), held(bridge), held(last)
         m1, m3 = self.meta(first, "first"), self.meta(last, "last")
         m2 = JoinMeta.of_frequency(bridge_max.first().max_freq, *self.budget.meta, SOURCE, f"{self.name}/bridge")
         run = Run(self.prepared(first, "first"))
         meta = self.joined(run, self.prepared(bridge, "bridge"), 0, (m1, m2))
         before = run.side.buckets
-        run.side = self.prepared(rekey(run.side.freq), "again1", meta.b)
+        run.side = self.prepared(held(rekey(run.side.freq)), "again1", meta.b)
         run.events.append(interval_join.repartition_events("again1", before, run.side.buckets))
         self.joined(run, self.prepared(last, "last"), 1, (meta, m3))
         return run
 
     # The same as DuckDB SQL: ``ctes`` are common table expressions that define a histogram t_freq for each table t
 
-    def _prepared_sql(self, table: str, tag: str, sens: int | str = 1) -> str:
+    def _prepared_sql(self, table: str, tag: str, sens: str | None = None) -> str:
+        """``sens``: SQL of the sensitivity, where it isn't 1."""
         eps, delta = self.budget.stage
-        if isinstance(sens, str):
-            raise ValueError("sensitivities of prepared tables are known beforehand")
+        noise = (sens, eps, delta) if sens else ShiftedGeometric(eps, delta)
         if self.kind == "uniform":
             parts = f"{table}_parts AS ({partition.uniform_parts_sql(self.domain, self.bins)})"
         else:
-            parts = partition.private_parts_sql(f"{table}_parts", f"{table}_freq", partition.PrivateScan.offline(eps, delta, self.domain, sens), SOURCE, f"{self.name}/{tag}")
-        return f"{parts},{bucket.buckets_sql(table, f'{table}_freq', f'{table}_parts', ShiftedGeometric(eps, delta, sens), SOURCE, f'{self.name}/{tag}')}"
+            scan = partition.PrivateScan.offline(eps, delta, self.domain)
+            parts = partition.private_parts_sql(f"{table}_parts", f"{table}_freq", scan, SOURCE, f"{self.name}/{tag}", (sens, eps, delta) if sens else None)
+        return f"{parts},{bucket.buckets_sql(table, f'{table}_freq', f'{table}_parts', noise, SOURCE, f'{self.name}/{tag}')}"
 
-    def _metas_sql(self, tables: list[str]) -> str:
+    def _meta_sql(self, table: str, most: str) -> str:
         eps, delta = self.budget.meta
-        return ", ".join(f"{t}_meta AS (SELECT {meta_sql(f'max(freq)', eps, delta, SOURCE, f'{self.name}/{t}')} AS a, 1::BIGINT AS b FROM {t}_freq)" for t in tables)
+        return f"{table}_meta AS (SELECT {meta_sql('m', eps, delta, SOURCE, f'{self.name}/{table}')} AS a, 1::BIGINT AS b FROM ({most}))"
 
-    def same_key_sql(self, ctes: str, tables: list[str]) -> str:
-        """WITH ... up to the last join, named j<n>; pipelined and uniform routes only, whose partitions have sensitivity 1."""
+    def _joined_sql(self, k: int, left: str, left_meta: str, right: str) -> list[str]:
         eps, delta = self.budget.stage
-        parts = [ctes, self._metas_sql(tables), *(self._prepared_sql(t, t) for t in tables)]
+        meta = f"j{k}_meta AS MATERIALIZED (SELECT x.a * y.a AS a, greatest(x.a * y.b, y.a * x.b) AS b FROM {left_meta} x, {right}_meta y)"
+        metas = (f"(SELECT a FROM {left_meta})", f"(SELECT a FROM {right}_meta)") if self.bounded else None
+        return [meta, interval_join.padded_join_sql(f"j{k}", left, right, self.merges[k], (f"(SELECT b FROM j{k}_meta)", eps, delta), SOURCE, f"{self.name}/join{k}", metas)]
+
+    def same_key_sql(self, ctes: str, tables: list[str]) -> str:
+        """WITH ... up to the last join, named j<n>; what is partitioned anew is named again<n>."""
+        parts = [ctes, *(self._meta_sql(t, f"SELECT max(freq) AS m FROM {t}_freq") for t in tables), *(self._prepared_sql(t, t) for t in tables)]
         left, meta = tables[0], f"{tables[0]}_meta"
         for k, t in enumerate(tables[1:]):
-            parts.append(f"j{k}_meta AS (SELECT x.a * y.a AS a, greatest(x.a * y.b, y.a * x.b) AS b FROM {meta} x, {t}_meta y)")
-            metas = (f"(SELECT a FROM {meta})", f"(SELECT a FROM {t}_meta)") if self.bounded else None
-            parts.append(interval_join.padded_join_sql(f"j{k}", left, t, self.merges[k], (f"(SELECT b FROM j{k}_meta)", eps, delta), SOURCE, f"{self.name}/join{k}", metas))
+            if k and self.kind == "repartitioned":
+                parts.append(f"again{k}_freq AS (SELECT * FROM {left}_freq)")
+                parts.append(self._prepared_sql(f"again{k}", f"again{k}", f"(SELECT b FROM {meta})"))
+                left = f"again{k}"
+            parts += self._joined_sql(k, left, meta, t)
             left, meta = f"j{k}", f"j{k}_meta"
         return "WITH RECURSIVE " + ",\n".join(parts)
+
+    def chain_sql(self, ctes: str, bridge_max: str, again_freq: str) -> str:
+        """WITH ... up to j1, the chain's last join. ``ctes`` define first_freq, bridge_freq and last_freq, ``again_freq`` selects the histogram of the first join on the other key."""
+        most = {"first": "SELECT max(freq) AS m FROM first_freq", "bridge": bridge_max, "last": "SELECT max(freq) AS m FROM last_freq"}
+        parts = [ctes, *(self._meta_sql(t, sql) for t, sql in most.items()), *(self._prepared_sql(t, t) for t in most)]
+        parts += self._joined_sql(0, "first", "first_meta", "bridge")
+        parts += [f"again1_freq AS MATERIALIZED ({again_freq})", self._prepared_sql("again1", "again1", "(SELECT b FROM j0_meta)")]
+        parts += self._joined_sql(1, "again1", "j0_meta", "last")
+        return "WITH RECURSIVE " + ",\n".join(parts)

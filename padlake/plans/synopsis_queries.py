@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from padlake.functions.noise import Keyed
 from padlake.operators import profile as profiles
 from padlake.operators import synopsis as syn
-from padlake.sources import generators
 from padlake.sources.tables import table
 
 SOURCE, E = Keyed(), 0.5
@@ -144,9 +143,3 @@ def extreme_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT c_acctbal AS x FROM customer WHERE c_acctbal IS NOT NULL), (SELECT min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer) GROUP BY 1""")
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.density(table(spark, sf_dir, "customer"), "c_acctbal")
-
-
-@query()
-def gen_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Synthetic clustered keys; random, so that no SQL can tell them."""
-    return generators.clustered_keys(spark, 1_000_000, 10_000, around=[k * 19_000 + 500 for k in range(50)])

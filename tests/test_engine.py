@@ -1,6 +1,9 @@
 """Closed-form values, hand-sized cases, invariants, and every query against its SQL in DuckDB."""
 
+import bisect
 import math
+import random
+from dataclasses import replace
 from pathlib import Path
 
 import duckdb
@@ -10,10 +13,10 @@ from pyspark.sql import functions as F
 
 from padlake.functions.metadata import PRESETS, Budget, JoinMeta
 from padlake.functions.noise import BoundedLaplace, Keyed, Laplace, ShiftedGeometric, geometric_steps, secure_uniforms
-from padlake.operators import bucket, frequency, interval_join, partition, profile, synopsis
+from padlake.operators import bucket, frequency, held, interval_join, partition, profile, synopsis
 from padlake.operators.partition import PrivateScan, format_splits
 from padlake.operators.tables import Table, join_tables
-from padlake.plans import registry
+from padlake.plans import inputs, registry
 from padlake.sources import csv, generators, sinks
 
 DATA = "/root/testdata/sf0.001"
@@ -123,6 +126,68 @@ def test_part_of_every_key(spark):
         assert [r["count"] for r in got] == [b - a + 1 for a, b in spans]
 
 
+def test_part_of_where_intervals_cluster(spark):
+    """Thousands of intervals in one slice, few elsewhere; keys on every edge."""
+    rng = random.Random(2)
+    ends = sorted({*rng.sample(range(500_000, 504_000), 1500), *rng.sample(range(1, 1_000_000), 40), 1_000_000})
+    spans = list(zip([1, *(e + 1 for e in ends)], ends))
+    keys = sorted({*(k for span in spans for k in span), *rng.sample(range(1, 1_000_001), 3000)})
+    df = spark.createDataFrame([(k,) for k in [*keys, 0, 1_000_001]], "key long")
+    for pieces in (16, 4096):
+        got = partition.part_of(df, parts(spark, *spans), 1_000_000, pieces=pieces)
+        assert sorted(map(tuple, got.select("key", "part_id").collect())) == [(k, bisect.bisect_left(ends, k)) for k in keys]
+
+
+@pytest.mark.parametrize("make", [PrivateScan.offline, PrivateScan.clamped, PrivateScan.key_first])
+def test_scan_of_a_table_equals_that_of_a_list(spark, make):
+    rng = random.Random(3)
+    freqs = sorted((k, rng.randrange(1, 60)) for k in rng.sample(range(1, 5000), 700))
+    df = frame(spark, [*freqs, (0, 9), (6000, 9)], "key long, freq long").repartition(5)
+    scan = make(0.5, 1e-3, 5000)
+    got = [(r.start, r.end) for r in partition.private_parts(df, scan, Keyed(), "t").orderBy("part_id").collect()]
+    assert got == format_splits(scan.splits(freqs, Keyed(), "t"), 5000) and len(got) > 5
+    want = []
+    for k in range(3):
+        low, high = k * 1666, 5000 if k == 2 else (k + 1) * 1666
+        own = replace(scan, domain=high - low)
+        want += [(a + low, b + low) for a, b in format_splits(own.splits([(x - low, f) for x, f in freqs if low < x <= high], Keyed(), f"t/{k}"), high - low)]
+    assert [(r.start, r.end) for r in partition.private_parts_precut(df, scan, Keyed(), "t", 3).orderBy("part_id").collect()] == want
+    empty = partition.private_parts_precut(df.limit(0), scan, Keyed(), "t", 4).orderBy("part_id").collect()
+    assert empty[0].start == 1 and empty[-1].end == 5000 and all(a.end + 1 == b.start for a, b in zip(empty, empty[1:]))
+
+
+def test_keys_beyond_the_domain_are_an_error(spark, tmp_path):
+    spark.createDataFrame([(5, "a"), (None, "b")], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    assert [tuple(r) for r in inputs.freq(spark, str(tmp_path), "account", 6).collect()] == [(6, 1)]
+    with pytest.raises(Exception, match="outside the declared domain"):
+        inputs.freq(spark, str(tmp_path), "account", 5).collect()
+
+
+def test_what_runs_hold_is_given_back(spark):
+    df = held.held(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.count() == 10 and df.is_cached
+    held.release()
+    assert not df.storageLevel.useMemory and not held._held and df.agg(F.sum("x")).first()[0] == 90
+
+
+def test_generated_rows_do_not_depend_on_partitions(spark):
+    one = generators.clustered_keys(spark, 10**6, 500, seed=4)
+    other = spark.range(0, 500, 1, 13).select(generators._clustered(F.col("id"), 500, 10**6, generators.centers(10**6, seed=4), generators.SPREAD, "4/key").alias("key"))
+    assert sorted(one.toPandas().key) == sorted(other.toPandas().key)
+
+
+def test_cost_log_with_totals(spark, tmp_path):
+    events, seconds = frame(spark, [("join1", "pairs", 12), ("join2", "pairs", 3), ("join1", "sort", 15)], "stage string, kind string, size long"), {}
+    with sinks.timed(seconds, "join1"):
+        pass
+    with sinks.timed(seconds, "join1"):
+        pass
+    sinks.write_cost_log(events, str(tmp_path / "log"), seconds | {"join2": 1.5})
+    lines = [tuple(x.split("\t")) for x in spark.read.text(str(tmp_path / "log")).toPandas().value]
+    assert {("total", "pairs", "15"), ("total", "sort", "15"), ("total", "all", "30"), ("join2", "seconds", "1.5000"), ("total", "seconds", "1.5000")} <= set(lines)
+    assert sinks.report("t", bucket.summary(_buckets(spark, (1, 5))), 0.25).endswith("1.0 rows a bucket, 0.2500 s")
+
+
 def _buckets(spark, *spans, size=1):
     return parts(spark, *spans).withColumn("n_real", F.lit(size).cast("long")).withColumn("n_dummy", F.lit(0).cast("long"))
 
