@@ -290,7 +290,7 @@ def oracle(table: str = "embeddings", every: int = 50, k: int = 5) -> str:
     return f"""
     WITH fine AS (
         SELECT vec_id, embedding FROM {table}
-        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x != 0)) > 0),
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
     parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM fine),
     norms AS (SELECT vec_id, sqrt(sum(x * x ORDER BY i)) AS norm FROM parts GROUP BY vec_id),
     dots AS (
