@@ -36,7 +36,9 @@ SPREAD, SPARE = 1.5, 0.34
 LIST_COST = 8
 #: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
 FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 19
-#: Words whose hashes a worker remembers, and how long they may be.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Long words whose hashes a worker remembers, and how long they may be.
 REMEMBERED, LONG = 200_000, 40
 WHITE = re.compile(rb"[\x09-\x0d ]")
 
@@ -45,7 +47,7 @@ WHITE = re.compile(rb"[\x09-\x0d ]")
 
 
 class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
+    """Hashes of long words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
         h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
@@ -59,20 +61,55 @@ class _Words(dict):
 _words = _Words()
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Of its words, in order: runs of anything but white space (bytes 9 to 13 and 32), A-Z lower-cased."""
-    found, at = [np.zeros(0, np.uint64)], 0
-    while at < len(text):
-        end = WHITE.search(text, at + PIECE)
-        words = text[at : end.start() if end else len(text)].lower().split()
-        found.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)))
-        at = end.end() if end else len(text)
-    return np.concatenate(found)
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of its words, in order: runs of anything but white space (bytes 9 to 13 and 32), A-Z lower-cased.
+
+    Words of up to seven bytes are told apart by those bytes, longer ones by 64 bits of BLAKE2b.
+    """
+    text = text.lower()
+    raw = np.frombuffer(text + b"\n" * 8, np.uint8)
+    white = _WHITE[raw]
+    change = np.flatnonzero(white[1:] != white[:-1]) + 1
+    bounds = change if white[0] else np.concatenate([[0], change])
+    first, last = bounds[0::2], bounds[1::2]
+    first = first[: len(last)]
+    size = last - first
+    short = np.minimum(size, 7).astype(np.uint64) * np.uint64(8)
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    found = mixed(eight[first] & ((np.uint64(1) << short) - np.uint64(1)) | short << np.uint64(53))
+    long = np.flatnonzero(size > 7)
+    if len(long):
+        found[long] = np.fromiter(map(_words.__getitem__, [text[x:y] for x, y in zip(first[long].tolist(), last[long].tolist())]), np.uint64, len(long))
+    return found, first
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """For each text the ascending distinct hashes of its n-word shingles; of all its words if it has fewer; none without words."""
-    return [_set_of(word_hashes(t), n) for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(texts):
+        if len(texts[at]) > PIECE:
+            out.append(_set_of(np.concatenate([word_hashes(part)[0] for part in _parts(texts[at])]), n))
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= PIECE):
+            size += len(texts[end]) + 1
+            end += 1
+        words, places = word_hashes(b"\n".join(texts[at:end]))
+        edges = np.searchsorted(places, np.cumsum([0, *(len(t) + 1 for t in texts[at:end])])).tolist()
+        out += [_set_of(words[a:b], n) for a, b in zip(edges, edges[1:])]
+        at = end
+    return out
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text, cut at white space."""
+    at = 0
+    while at < len(text):
+        end = WHITE.search(text, at + PIECE)
+        yield text[at : end.start() if end else len(text)]
+        at = end.end() if end else len(text)
 
 
 def _set_of(words: np.ndarray, n: int) -> np.ndarray:
