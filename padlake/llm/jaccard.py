@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from padlake.llm.graph import components, saved
@@ -36,6 +36,8 @@ SPREAD, SPARE = 1.5, 0.34
 LIST_COST = 8
 #: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
 FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 19
+#: Pairs of blocks beyond which a family is first looked at element by element.
+REFINED = 12
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Long words whose hashes a worker remembers, and how long they may be.
@@ -381,12 +383,11 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     known = components(tried)
     rows = families.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(members.select("node", "elements", (F.octet_length("elements") / 8).alias("size")), "node")
-    # What isn't in a family's largest component is joined with all of the family.
-    parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    core = parts.groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("c"), F.sum("n").alias("total"), F.sum("size").alias("size"), F.count("*").alias("parts"))
-    core = saved(core.where("parts > 1")).select("family", F.col("c.component").alias("core"), F.col("c.n").alias("cored"), "total", "size")
-    each = F.greatest(F.lit(1), F.least(F.lit(FAMILY_ROWS), F.floor(F.lit(FAMILY_ELEMENTS) * F.col("total") / F.col("size"))))
-    core = core.withColumn("rest_blocks", F.ceil((F.col("total") - F.col("cored")) / each).cast("long")).withColumn("core_blocks", F.ceil(F.col("cored") / each).cast("long"))
+    core = _cores(rows)
+    large = core.where(F.col("rest_blocks") * (F.col("rest_blocks") + F.col("core_blocks")) > REFINED).select("family")
+    if not large.isEmpty():
+        rows = rows.join(large, "family", "left_anti").unionByName(_refined(rows.join(large, "family"), percent))
+        core = _cores(rows)
     rows = rows.join(core.select("family", "core", "rest_blocks", "core_blocks"), "family")
     in_core = F.col("component") == F.col("core")
     own = F.pmod(F.xxhash64("node"), F.when(in_core, F.col("core_blocks")).otherwise(F.col("rest_blocks")))
@@ -405,6 +406,44 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     return components(known.select(F.col("node").alias("x"), F.col("component").alias("y")).union(more))
 
 
+def _cores(rows: DataFrame) -> DataFrame:
+    """(family, core, rest_blocks, core_blocks, size) of families (family, component, size, ...) with several components: what isn't in the largest one is joined with all of the family."""
+    parts = rows.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    core = parts.groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("c"), F.sum("n").alias("total"), F.sum("size").alias("size"), F.count("*").alias("parts"))
+    core = saved(core.where("parts > 1")).select("family", F.col("c.component").alias("core"), F.col("c.n").alias("cored"), "total", "size")
+    each = F.greatest(F.lit(1), F.least(F.lit(FAMILY_ROWS), F.floor(F.lit(FAMILY_ELEMENTS) * F.col("total") / F.col("size"))))
+    return core.withColumn("rest_blocks", F.ceil((F.col("total") - F.col("cored")) / each).cast("long")).withColumn("core_blocks", F.ceil(F.col("cored") / each).cast("long"))
+
+
+def _array(sets: pa.Array) -> pa.Array:
+    flat = [np.frombuffer(b, np.int64) for b in sets.to_pylist()]
+    ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
+
+
+def _refined(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (family, node, component, elements, size) of large families, in smaller ones that no possible link leaves; what can have none goes.
+
+    Lists of single elements, ordered by how many sets of the family have them: of an alike pair, the smaller set's
+    first size - c + 1 elements and the larger set's have one in common, where c is what they must share at least. A
+    text that many others are made of, each with enough of its own, makes no list.
+    """
+    each = rows.select("family", "node", "component", "size", F.explode(F.arrow_udf("array<bigint>")(_array)("elements")).alias("element"))
+    often = each.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(often, ["family", "element"])
+    order = Window.partitionBy("family", "node").orderBy("n", "element")
+    # What no other set of the family has comes before all else.
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("family", "node"))
+    shared = shared.withColumn("place", alone + F.row_number().over(order))
+    needed = lambda other: F.ceil(F.lit(percent) * (F.col("size") + other) / F.lit(100 + percent))
+    as_smaller, as_larger = F.col("size") - needed(F.col("size")) + 1, F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    listed = shared.where(F.col("place") <= as_larger).select("family", "element", "node", "component", (F.col("place") <= as_smaller).alias("smaller"))
+    lists = listed.groupBy("family", "element").agg(F.min(F.when(F.col("smaller"), F.col("node"))).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = lists.where("first IS NOT NULL AND low != high").select("family", "element", "first")
+    stars = saved(listed.join(lists, ["family", "element"]).where(F.col("node") != F.col("first")).select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
+    return rows.drop("family").join(components(stars).withColumnRenamed("component", "family"), "node")
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, n_shingles, component_id) for each distinct pair of key and text: the smallest key that it reaches by links.
 
