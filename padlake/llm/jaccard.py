@@ -35,7 +35,7 @@ SPREAD, SPARE = 1.5, 0.34
 #: What an entry of a list costs against a subset, for it has to be verified.
 LIST_COST = 8
 #: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
-FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 19
+FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 17
 #: Pairs of blocks beyond which a family is first looked at element by element.
 REFINED = 12
 _WHITE = np.zeros(256, bool)
