@@ -242,8 +242,9 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``ids`` and ``out``: encode and then decode, in one pass of one worker."""
-    whole = df.select("*", _both(path)(F.col(f"`{text}`")).alias("__both"))
-    return whole.withColumns({ids: F.col("__both.ids"), out: F.col("__both.text")}).drop("__both")
+    own = max(df.columns, key=len) + "_"  # a name that no column has
+    whole = df.select("*", _both(path)(F.col(f"`{text}`")).alias(own))
+    return whole.withColumns({ids: F.col(f"`{own}`")["ids"], out: F.col(f"`{own}`")["text"]}).drop(own)
 
 
 def ids_digest(ids: Column) -> Column:

@@ -12,15 +12,16 @@ def fold(key: str, n: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, bound: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of at most ``bound`` label rows that are ``learnable``, those of the smallest key hash.
+    """(key, text, label) of at most ``bound`` label rows that are ``learnable``, those of the smallest key hash.
 
     ``bound`` also bounds what is broadcast: the sample's keys. Rows without a key or label are no candidates; a key
-    that ``docs`` has more than once gives a row for each.
+    that ``docs`` has more than once gives a row for each. Columns may have any names.
     """
     some = (
-        labels.select(F.col(f"`{key}`"), F.col(f"`{label}`").cast("double").alias("label"))
-        .where(learnable & F.col("label").isNotNull())
-        .orderBy(F.xxhash64(F.col(f"`{key}`").cast("string")), F.col(f"`{key}`"), "label")
+        labels.where(learnable)
+        .select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("double").alias("label"))
+        .where(F.col("label").isNotNull())
+        .orderBy(F.xxhash64(F.col("key").cast("string")), "key", "label")
         .limit(bound)
     )
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), key).select(key, "text", "label")
+    return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(some), "key").select("key", "text", "label")

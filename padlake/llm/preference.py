@@ -43,7 +43,8 @@ def pairs(turns: DataFrame, pair: Column, rejected: Column, turn: str = "turn",
 
     ``pair`` numbers the pair of a row, ``rejected`` tells its side; rows for which either is null belong to none.
     Rows of a side that agree in turn, role and text count once; of equal turns the smaller role, then text, comes
-    first. Null roles are "unknown", null texts empty. A pair's side without rows is an empty array.
+    first. Null roles are "unknown", null texts empty. A pair's side without rows is an empty array. A side's distinct
+    turns are in one row, as their rendering has to be; rows that repeat are merged before they are dealt.
     """
     one = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("unknown")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = turns.select(pair.alias("pair_id"), rejected.alias("rejected"), one.alias("t")).where("pair_id IS NOT NULL AND rejected IS NOT NULL")

@@ -129,7 +129,7 @@ def _terms():
 
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", bound: int = SAMPLE) -> Machine:
     """The machine fitted on at most ``bound`` rows of ``labels`` that are ``learnable``; without rows of both labels, the share alone decides."""
-    rows = training_rows(docs, labels, label, learnable, bound, key, text).select(F.col(f"`{key}`").cast("long").alias("key"), "label", _terms()("text").alias("x")).toArrow()
+    rows = training_rows(docs, labels, label, learnable, bound, key, text).select(F.col("key").cast("long").alias("key"), "label", _terms()("text").alias("x")).toArrow()
     y, x = rows["label"].to_numpy(), rows["x"].combine_chunks()
     ends, values = x.offsets.to_numpy(), x.values.to_numpy()
     order = np.lexsort((np.diff(ends), y, rows["key"].to_numpy()))

@@ -69,6 +69,17 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def nearest_part(item, text):
+    """The least edit distance of any part of ``text`` to ``item``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
 def line_chunks(text, hash_of, window, divisor, base, modulus):
     lines = (text or "").split("\n")
     h = [hash_of(x) for x in lines]

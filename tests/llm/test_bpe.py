@@ -58,3 +58,9 @@ def test_rows(spark):
     assert [r.token_ids for r in got] == [[], [], THEIRS.encode("hello hello").ids] + [THEIRS.encode("hello hello").ids]
     assert [r.decoded for r in got] == ["", "", "hello hello", "hello hello"]
     assert bpe.encode(df.limit(0), PATH).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([("a text", 1, 2, 3)], "text string, __both long, token_ids long, `a.b` long")
+    r = bpe.round_trip(df, PATH).first()
+    assert r.decoded == "a text" and r["__both"] == 1 and r["a.b"] == 3 and len(r.token_ids) == 2

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import helpers
-from padlake.llm import decontaminate, graph, html_text, html_train, jaccard, line_dedup, neighbours, preference, quality, shards, suffix_dedup, toxicity
+from padlake.llm import decontaminate, graph, html_text, html_train, jaccard, labelled, line_dedup, neighbours, preference, quality, shards, suffix_dedup, toxicity
 from padlake.llm.labelled import fold
 
 SCHEMA = "doc_id long, text string"
@@ -62,6 +62,44 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == helpers.jaccard_components(docs, 3, 90)
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (2, 60), (1, 80)])
+def test_jaccard_large_families_by_elements(spark, monkeypatch, n, percent):
+    """Every family counts as large: lists of elements lose no link."""
+    monkeypatch.setattr(jaccard, "REFINED", 0)
+    monkeypatch.setattr(jaccard, "FAMILY_ROWS", 5)
+    rng = random.Random(percent)
+    base = prose(rng, 70).split()
+    docs = near_copies(percent, 25)
+    for k in range(90):
+        c = list(base)
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(c))
+            c[at : at + 1] = rng.choice([[f"y{rng.randrange(60)}"], [], [c[at], "z"]])
+        docs.append((1000 + k, " ".join(c)))
+    got = jaccard.join(spark.createDataFrame(docs, SCHEMA), n=n, percent=percent, shard_bytes=4000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == helpers.jaccard_components(docs, n, percent)
+
+
+def test_jaccard_of_a_template(spark, monkeypatch):
+    """20,000 texts of one template, each with enough of its own, are not compared with each other; a few copies among them are found."""
+    rng, dealt = random.Random(9), []
+    template = prose(rng, 80, 10**6).split()
+    docs = [(k, " ".join(template + [f"own{k}x{j}" for j in range(14)])) for k in range(20_000)]
+    docs += [(30_000 + k, docs[k * 900][1] + " more") for k in range(20)]
+    kept = jaccard._refined
+
+    def refined(rows, percent):
+        out = kept(rows, percent)
+        dealt.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_refined", refined)
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(docs, SCHEMA).repartition(8), n=5, percent=80).collect()}
+    assert all(got[k] == (k if k < 30_000 else (k - 30_000) * 900) for k in got) and len(got) == 20_020
+    assert all(after <= 60 for _, after in dealt) and time.time() - began < 240
+
+
 @pytest.mark.parametrize("shared", [1, 2048, 2049, 4097])
 def test_jaccard_links_at_the_threshold_in_slices(shared):
     """Sets that are just alike have all their common elements counted, the last one of the last slice included."""
@@ -264,6 +302,46 @@ def test_decontaminate_reaches_its_recall_and_is_exact(spark):
     assert all(d < 1000 for d, _ in found)
 
 
+def test_decontaminate_equals_all_windows():
+    """Few words, so that much is nearly alike: what is found is what the edit distance says, and little is missed."""
+    rng = random.Random(12)
+    items = [(k, prose(rng, rng.randrange(5, 24), 12).split()) for k in range(25)]
+    index = decontaminate.Index(items)
+    texts = []
+    for k in range(120):
+        w = list(items[k % 25][1])
+        for _ in range(rng.randrange(len(w) // 4 + 2)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(12)}"
+        texts.append(" ".join([prose(rng, rng.randrange(20), 12), *w, prose(rng, rng.randrange(20), 12)]))
+    right = same = wanted = 0
+    for text, found in zip(texts, index.find(texts)):
+        words, got = decontaminate.words(text), {m[0]: m[3] for m in found}
+        for k, item in items:
+            least = helpers.nearest_part(item, words)
+            if least <= decontaminate.most_edits(len(item), 0.8):
+                wanted += 1
+                right += k in got
+                same += got.get(k) == least
+            else:
+                assert k not in got
+    assert wanted > 80 and right >= 0.97 * wanted and same >= 0.95 * wanted
+
+
+def test_decontaminate_of_any_length():
+    rng = random.Random(13)
+    items = [(n, prose(rng, n, 5000).split()) for n in (10, 30, 100, 300, 800, 2000)]
+    index = decontaminate.Index(items)
+    met = 0
+    for n, w in items:
+        for _ in range(10):
+            copy = list(w)
+            for _ in range(decontaminate.most_edits(n, 0.8)):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([["qq"], [], [copy[at], "zz"]])
+            met += [m[0] for m in index.find([prose(rng, 50, 5000) + " " + " ".join(copy) + " " + prose(rng, 50, 5000)])[0]] == [n]
+    assert met >= 0.98 * 60
+
+
 def test_decontaminate_verifies_all_windows_where_hashes_are_too_few(monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_HASHES", 1)
     rng = random.Random(6)
@@ -396,6 +474,60 @@ def test_quality_learns_statistics(spark):
     assert np.mean([(r.score >= 0.7) == (r.doc_id % 3 > 0) for r in got if r.held]) > 0.97
 
 
+def test_machine_equals_a_loop_over_pairs():
+    rng = np.random.default_rng(1)
+    machine = toxicity.Machine(-0.3, {}, rng.normal(size=30), rng.normal(size=(30, toxicity.FACTORS)))
+    rows = [sorted(rng.choice(30, k, replace=False).tolist()) for k in (0, 1, 2, 9, 30)]
+    for row, got in zip(rows, machine.score(rows)):
+        z = machine.bias + sum(machine.weight[i] for i in row)
+        for a, i in enumerate(row):
+            for j in row[a + 1 :]:
+                z += sum(machine.factors[i, f] * machine.factors[j, f] for f in range(toxicity.FACTORS))
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_forest_equals_a_walk_from_node_to_node():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(400, len(quality.FEATURES))), 1)
+    forest = quality.fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float))
+    for row, got in zip(x[:60], forest.score(x[:60])):
+        z = forest.start
+        for feature, cut, value in zip(forest.feature, forest.cut, forest.value):
+            node = 0
+            while 2 * node + 2 < len(value):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            z += value[node]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, f"{'bad' if k % 2 else 'fine'} text", k) for k in range(40)], "label long, text string, key long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "label long, text long")
+    rows = labelled.training_rows(docs, labels, "text", F.col("label") < 30, 100, key="label", text="text").collect()
+    assert sorted((r.key, r.label) for r in rows) == [(k, k % 2) for k in range(30)]
+    for module in (quality, toxicity):
+        assert module.score(docs, module.train(docs, labels, F.lit(True), label="text", key="label"), out="key").count() == 40
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Whole texts count: what stands at the end of a megabyte is found, by every operator that reads documents."""
+    rng = random.Random(10)
+    item, passage = prose(rng, 30, 10**6), prose(rng, 30, 10**6)
+    long = [prose(rng, 150_000, 10**6) for _ in range(2)]
+    rows = [(1, long[0] + " " + item), (2, long[1] + " " + passage), (3, passage + "."), (4, long[1] + " " + passage + " end"), (5, "x" * 300_000), (6, "x" * 300_000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.find(df, bench).collect()} == {1: [7], 2: [], 3: [], 4: [], 5: [], 6: []}
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, n=5, percent=80).collect()} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5, 6: 5}
+    gone = {r.doc_id: r.n_bytes - len(r.kept) for r in suffix_dedup.dedup(df, shard_bytes=1 << 20).collect()}
+    assert gone[1] == gone[2] == 0 and gone[3] == len(passage) and gone[4] >= len(rows[1][1]) and gone[5] == 0 and gone[6] == 300_000
+    y = spark.createDataFrame([(k, k % 2) for k in range(1, 7)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
+    for module in (quality, toxicity):
+        scores = module.score(df, module.train(df, y, F.lit(True))).collect()
+        assert len(scores) == 6 and all(0 <= r.score <= 1 for r in scores)
+    assert toxicity.terms(long[0] + " zzzz")[-1] >= 0 and set(toxicity.buckets("zzzz")) <= set(toxicity.terms(long[0] + " zzzz").tolist())
+
+
 def test_classifier_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (2, "", 0.5), (None, "x", 0.5)], SCHEMA + ", score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -636,10 +768,17 @@ def test_hashes_tell_thue_morse_words_apart(spark):
 
 
 def test_words_of_long_texts_in_parts(monkeypatch):
-    text = " ".join(f"W{k % 97}\x0b\x0c" for k in range(3000)).encode() + "\x85 É\u00a0é ".encode()
-    whole = jaccard.word_hashes(text)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aBc Éé\x85\u00a0 \t\x0b\x0c\n\r") for _ in range(rng.randrange(200))) + "longerword " * (k % 3) for k in range(40)] + ["", "x"]
+    whole = jaccard.shingle_sets([t.encode() for t in texts], 2)
+    assert [len(s) for s in whole] == [len(helpers.shingles(t, 2)) for t in texts]
+    seen = {}
+    for t in texts:
+        for w in helpers.WORD.findall(helpers._lower(t)):
+            seen[w] = jaccard.word_hashes(w.encode())[0].tolist()
+    assert len({h[0] for h in seen.values()}) == len(seen) and all(len(h) == 1 for h in seen.values())
     monkeypatch.setattr(jaccard, "PIECE", 10)
-    assert (jaccard.word_hashes(text) == whole).all() and len(whole) == len(helpers.WORD.findall(text.decode())) == 3000 + 2
+    assert all((a == b).all() for a, b in zip(whole, jaccard.shingle_sets([t.encode() for t in texts], 2)))
 
 
 @pytest.mark.parametrize("n", [10, 100, 1000])
