@@ -1,7 +1,8 @@
 """A corpus, from raw documents to tokens, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before has kept, and returns a DataFrame
-of the columns of ``documents``; the last returns tokens.
+of the columns of ``documents``; the last returns tokens. Of any stage: other columns pass as they are, whatever their
+names; an empty table gives an empty one; rows that are the same fare the same, but for ``near_copies``, which keeps one.
 """
 
 from __future__ import annotations
@@ -22,13 +23,21 @@ LEAST_QUALITY = 0.7
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels, doesn't reject."""
+    """Documents that the classifier, learnt from the labels, doesn't reject.
+
+    A null text counts as an empty one. A row without an id, or of an id that several have, is judged by its own text;
+    labels of an id stand for each of its rows. Without labels of both kinds their share decides for all.
+    """
     forest = quality.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return quality.score(docs, forest, out="quality_score").where(F.col("quality_score") >= LEAST_QUALITY).drop("quality_score")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the chunks of lines that an earlier one has; n_chars is that of the text that stays."""
+    """All documents, without the chunks of lines that an earlier one has; n_chars is that of the text that stays.
+
+    Null texts stay null, texts all of whose chunks go become empty. A null id is before all others; texts of one id
+    are apart, the smaller row hash first, and rows that agree in both lose nothing to each other.
+    """
     small_batches(spark)
     less = line_dedup.dedup(docs)
     return less.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -38,7 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles, 80 of 100 alike, the one of the smallest id; null ids are the largest.
 
     Rows that agree in id and text are one document, of which one row stays. Other texts of the same id are documents
-    of their own, linked only if they are alike.
+    of their own, linked only if they are alike. Null and empty texts are like no other.
     """
     small_batches(spark)
     text = F.xxhash64("text")
@@ -60,13 +69,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null and empty texts have none, ids play no part."""
     found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), out="leaks")
     return found.where(F.size("leaks") == 0).drop("leaks")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the text, how many, and whether they decode to it."""
+    """doc_id, lang, source, the ids of the text, how many, and whether they decode to it; a row for each row, null texts as empty ones."""
     small_batches(spark)
     done = bpe.round_trip(docs, tokenizer_path())
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
