@@ -17,6 +17,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes what ``saved`` has written for ``df``, which nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that each node of (x, y) ``edges`` is connected with, by alternating stars.
 
@@ -24,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     minimum by node and a join on it, so that a node of any degree can be dealt out; the rounds grow with the
     logarithm of the longest path.
     """
-    now = saved(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
+    now = kept = saved(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
     before = None
     # One key more than that of the aggregation, so that the join deals both sides itself and can split the rows of a
     # node of high degree; after it, nodes have few smaller neighbours.
@@ -35,7 +43,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         large = both.select("*", part).join(least, ["u", "part"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        last, now = kept, saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        dropped(last)
+        kept = now
         # A forest of stars is where every node has one smaller neighbour that has none itself.
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
