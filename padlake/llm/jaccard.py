@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from padlake.llm.graph import components, saved
@@ -36,8 +36,8 @@ SPREAD, SPARE = 1.5, 0.34
 LIST_COST = 8
 #: Sets, and their elements, that one side of a block of a family has at most or so; elements of the families that share a task.
 FAMILY_ROWS, FAMILY_ELEMENTS, BIN_ELEMENTS = 512, 1 << 18, 1 << 17
-#: Pairs of blocks beyond which a family is first looked at element by element.
-REFINED = 12
+#: Copies of a row, on average, beyond which a family is first looked at element by element; elements of a shard of that.
+REFINED, SHARD_ELEMENTS = 6, 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Long words whose hashes a worker remembers, and how long they may be.
@@ -384,7 +384,10 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     rows = families.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(members.select("node", "elements", (F.octet_length("elements") / 8).alias("size")), "node")
     core = _cores(rows)
-    large = core.where(F.col("rest_blocks") * (F.col("rest_blocks") + F.col("core_blocks")) > REFINED).select("family")
+    # How often a row would be copied: a block of the rest meets every block, one of the core those of the rest.
+    rest, cored = F.col("total") - F.col("cored"), F.col("cored")
+    copies = (rest * (F.col("rest_blocks") + F.col("core_blocks")) + cored * F.col("rest_blocks")) / F.col("total")
+    large = core.where(copies > REFINED).select("family")
     if not large.isEmpty():
         rows = rows.join(large, "family", "left_anti").unionByName(_refined(rows.join(large, "family"), percent))
         core = _cores(rows)
@@ -415,10 +418,47 @@ def _cores(rows: DataFrame) -> DataFrame:
     return core.withColumn("rest_blocks", F.ceil((F.col("total") - F.col("cored")) / each).cast("long")).withColumn("core_blocks", F.ceil(F.col("cored") / each).cast("long"))
 
 
-def _array(sets: pa.Array) -> pa.Array:
-    flat = [np.frombuffer(b, np.int64) for b in sets.to_pylist()]
-    ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
+def _family_keys(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(node, component, keys) of rows, in an order that doesn't depend on how they came; a key is that of an element in its family, below 2**48."""
+    for i in np.argsort(table["node"].to_numpy()).tolist():
+        family = mixed(np.array([table["family"][i].as_py()], np.int64).view(np.uint64))
+        elements = np.frombuffer(table["elements"][i].as_py(), np.uint64)
+        yield table["node"][i].as_py(), table["component"][i].as_py(), mixed(mixed(elements) ^ family) >> np.uint64(16)
+
+
+def _send_keys(ranges: int):
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        return sent(key[0].as_py(), np.concatenate([k for _, _, k in _family_keys(table)]), ranges)
+
+    return send
+
+
+_LISTED = "node long, component long, entry long, smaller boolean"
+
+
+def _list_keys(percent: int):
+    """Of each set the keys under which it is listed, and whether that is so where it is the smaller of a pair."""
+
+    def find(key: tuple, table: pa.Table, heard: pa.Table) -> pa.Table:
+        known = np.concatenate([np.zeros(0, np.uint64), *map(unpack, heard["grams"].to_pylist())])
+        counts = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(b, np.uint32) for b in heard["counts"].to_pylist())])
+        order = np.argsort(known, kind="stable")
+        known, counts = known[order], counts[order]
+        out = [[], [], [], []]
+        for node, component, keys in _family_keys(table) if len(known) else ():
+            size = len(keys)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            there = known[at] == keys
+            shared, often = keys[there], counts[at[there]]
+            # What no other set has comes before all else.
+            alone = size - len(shared)
+            as_smaller, as_larger = size + 1 - -(-2 * percent * size // (100 + percent)), size + 1 - -(-percent * size // 100)
+            listed = shared[np.lexsort((shared, often))][: max(as_larger - alone, 0)]
+            for column, values in zip(out, ([node] * len(listed), [component] * len(listed), listed.astype(np.int64).tolist(), (np.arange(len(listed)) < as_smaller - alone).tolist())):
+                column += values
+        return pa.table({name: pa.array(column, kind) for name, column, kind in zip(("node", "component", "entry", "smaller"), out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))})
+
+    return find
 
 
 def _refined(rows: DataFrame, percent: int) -> DataFrame:
@@ -426,21 +466,19 @@ def _refined(rows: DataFrame, percent: int) -> DataFrame:
 
     Lists of single elements, ordered by how many sets of the family have them: of an alike pair, the smaller set's
     first size - c + 1 elements and the larger set's have one in common, where c is what they must share at least. A
-    text that many others are made of, each with enough of its own, makes no list.
+    text that many others are made of, each with enough of its own, makes no list. Shards of sets tell each other
+    their elements' hashes, each once.
     """
-    each = rows.select("family", "node", "component", "size", F.explode(F.arrow_udf("array<bigint>")(_array)("elements")).alias("element"))
-    often = each.groupBy("family", "element").agg(F.count("*").alias("n")).where("n > 1")
-    shared = each.join(often, ["family", "element"])
-    order = Window.partitionBy("family", "node").orderBy("n", "element")
-    # What no other set of the family has comes before all else.
-    alone = F.col("size") - F.count("*").over(Window.partitionBy("family", "node"))
-    shared = shared.withColumn("place", alone + F.row_number().over(order))
-    needed = lambda other: F.ceil(F.lit(percent) * (F.col("size") + other) / F.lit(100 + percent))
-    as_smaller, as_larger = F.col("size") - needed(F.col("size")) + 1, F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
-    listed = shared.where(F.col("place") <= as_larger).select("family", "element", "node", "component", (F.col("place") <= as_smaller).alias("smaller"))
-    lists = listed.groupBy("family", "element").agg(F.min(F.when(F.col("smaller"), F.col("node"))).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
-    lists = lists.where("first IS NOT NULL AND low != high").select("family", "element", "first")
-    stars = saved(listed.join(lists, ["family", "element"]).where(F.col("node") != F.col("first")).select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
+    rows = saved(rows)
+    shards = math.ceil((rows.agg(F.sum("size")).first()[0] or 1) / SHARD_ELEMENTS)
+    dealt = rows.select("family", "node", "component", "elements", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard")
+    heard = dealt.applyInArrow(trimmed(_send_keys(ranges_for(shards))), SENT).groupBy("range").applyInArrow(trimmed(find_repeated), HEARD)
+    listed = saved(dealt.cogroup(heard.groupBy("shard")).applyInArrow(trimmed(_list_keys(percent)), _LISTED))
+    part = F.xxhash64("entry").alias("part")
+    lists = listed.groupBy("entry").agg(F.min(F.when(F.col("smaller"), F.col("node"))).alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
+    lists = lists.where("first IS NOT NULL AND low != high").select("entry", part, "first")
+    stars = listed.select("node", "entry", part).join(lists, ["entry", "part"]).where(F.col("node") != F.col("first"))
+    stars = saved(stars.select(F.col("node").alias("x"), F.col("first").alias("y")).distinct())
     return rows.drop("family").join(components(stars).withColumnRenamed("component", "family"), "node")
 
 
