@@ -7,6 +7,8 @@ import pyarrow as pa
 
 #: Shards whose hashes share a range, so that a shard sends few rows and a range fits a task.
 RANGE_SHARDS = 8
+#: Parts of a range that are looked at one after another.
+SLICES = 8
 _SYMBOLS = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -98,16 +100,24 @@ def sent(shard: int, hashes: np.ndarray, ranges: int) -> pa.Table:
 
 
 def find_repeated(key: tuple, table: pa.Table) -> pa.Table:
-    """To each shard of a range, those of its hashes that occur more than once in all, and how often."""
+    """To each shard of a range, those of its hashes that occur more than once in all, and how often; the range is gone through slice by slice."""
     shards, parts = table["shard"].to_pylist(), [unpack(b) for b in table["grams"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(b, np.uint8) for b in table["counts"].to_pylist()]).astype(np.int64)
-    _, where = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(where, counts)[where].astype(np.uint32)
-    ends = np.cumsum([0, *map(len, parts)])
-    kept = [(s, p[total[a:b] > 1], total[a:b][total[a:b] > 1]) for s, p, a, b in zip(shards, parts, ends, ends[1:])]
-    kept = [x for x in kept if len(x[1])]
+    counts = [np.frombuffer(b, np.uint8) for b in table["counts"].to_pylist()]
+    low, high = int(min(p[0] for p in parts)), int(max(p[-1] for p in parts)) + 1
+    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in parts]
+    for k in range(SLICES):
+        a, b = (np.uint64(low + (high - low) * x // SLICES) for x in (k, k + 1))
+        cuts = [np.searchsorted(p, [a, b]) for p in parts]
+        _, where = np.unique(np.concatenate([p[i:j] for p, (i, j) in zip(parts, cuts)]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([c[i:j] for c, (i, j) in zip(counts, cuts)]))[where].astype(np.uint32)
+        ends = np.cumsum([0, *(j - i for i, j in cuts)])
+        for own, p, (i, j), x, y in zip(kept, parts, cuts, ends, ends[1:]):
+            often = total[x:y] > 1
+            if often.any():
+                own.append((p[i:j][often], total[x:y][often]))
+    found = [(s, own) for s, own in zip(shards, kept) if own]
     return pa.table({
-        "shard": pa.array([s for s, _, _ in kept], pa.int32()),
-        "grams": pa.array([pack(g) for _, g, _ in kept], pa.binary()),
-        "counts": pa.array([blob(n) for _, _, n in kept], pa.binary()),
+        "shard": pa.array([s for s, _ in found], pa.int32()),
+        "grams": pa.array([b"".join(pack(g) for g, _ in own) for _, own in found], pa.binary()),
+        "counts": pa.array([b"".join(blob(n) for _, n in own) for _, own in found], pa.binary()),
     })
