@@ -17,7 +17,7 @@ from padlake.functions.metadata import JoinMeta
 from padlake.functions.noise import Keyed, ShiftedGeometric, shifted_geometric_sql
 from padlake.operators.frequency import joined_freq
 from padlake.operators.held import cut, held
-from padlake.operators.partition import part_of
+from padlake.operators.partition import in_order, part_of
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ def _aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     order = Window.orderBy("end")
     ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return ends.select(
-        (F.row_number().over(order) - 1).cast("long").alias("pair"),
+        in_order("end").alias("pair"),
         (F.coalesce(F.lag("end").over(order), F.lit(0)) + 1).cast("long").alias("start"),
         "end",
         F.min("a").over(ahead).alias("a"),

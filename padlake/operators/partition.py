@@ -15,6 +15,8 @@ from padlake.functions.noise import BoundedLaplace, Keyed, Laplace, geometric_st
 from padlake.operators.held import cut
 
 PARTS = "part_id long, start long, end long"
+#: Intervals that one task puts in order, at most: a list of more is an error.
+MOST_INTERVALS = 20_000_000
 
 
 def uniform_parts(spark: SparkSession, domain: int, bins: int) -> DataFrame:
@@ -171,8 +173,14 @@ def private_parts_precut(freq: DataFrame, scan: PrivateScan, source: Keyed, tabl
 
 
 def numbered(parts: DataFrame) -> DataFrame:
-    """Intervals numbered from 0 in order. They are metadata, fewer by far than keys."""
-    return parts.select((F.row_number().over(Window.orderBy("start")) - 1).cast("long").alias("part_id"), "start", "end")
+    """Intervals numbered from 0 in order. They are metadata, fewer by far than keys, and MOST_INTERVALS at most."""
+    return parts.select(in_order("start").alias("part_id"), "start", "end")
+
+
+def in_order(column: str) -> Column:
+    """The place of a row by ``column``, from 0. One task orders all rows, so that there may be MOST_INTERVALS of them."""
+    place = F.row_number().over(Window.orderBy(column))
+    return F.when(place <= MOST_INTERVALS, place - 1).otherwise(F.raise_error(F.lit(f"more than {MOST_INTERVALS} intervals")).cast("int")).cast("long")
 
 
 def part_of(keys: DataFrame, parts: DataFrame, domain: int, id_name: str = "part_id", pieces: int = 4096) -> DataFrame:

@@ -163,6 +163,17 @@ def test_keys_beyond_the_domain_are_an_error(spark, tmp_path):
         inputs.freq(spark, str(tmp_path), "account", 5).collect()
 
 
+def test_too_many_intervals_are_an_error(spark, monkeypatch):
+    spans = parts(spark, (1, 1), (2, 7), (8, 10))
+    monkeypatch.setattr(partition, "MOST_INTERVALS", 3)
+    assert [r.part_id for r in partition.numbered(spans).orderBy("start").collect()] == [0, 1, 2]
+    monkeypatch.setattr(partition, "MOST_INTERVALS", 2)
+    with pytest.raises(Exception, match="more than 2 intervals"):
+        partition.numbered(spans).collect()
+    with pytest.raises(Exception, match="more than 2 intervals"):
+        interval_join.align(spans, spans).collect()
+
+
 def test_what_runs_hold_is_given_back(spark):
     df = held.held(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.count() == 10 and df.is_cached
