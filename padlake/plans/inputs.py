@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from padlake.operators.frequency import key_freq, keyed
 from padlake.sources.tables import table
 
-#: The public range of customers' and orders' keys, which larger data have to declare; a key beyond it is an error.
+#: The public range of customers' and orders' keys. Tables of one customers' key may go beyond it, see ``domain_of``; else a key beyond is an error.
 DOMAIN = int(os.environ.get("PADLAKE_DOMAIN", 20_000))
 ORDER_DOMAIN = int(os.environ.get("PADLAKE_ORDER_DOMAIN", 200_000))
+#: The largest domain, for where none is needed.
+MOST = 1 << 62
 
 #: Table, key, filter, as SQL that both engines read.
 TABLES = {
@@ -25,6 +28,21 @@ TABLES = {
 }
 
 
+def domain_of(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """The domain that the tables ``names`` have in common: DOMAIN, doubled until it holds the largest key of each, whatever the filter.
+
+    So no row of a larger table is lost. All that this tells of keys is how often the declared range was doubled, and
+    nothing where they lie within it.
+    """
+    columns = dict.fromkeys((source if source.isidentifier() else "orders", key) for source, key, _ in (TABLES[n] for n in names))
+    each = [table(spark, sf_dir, source).agg(F.max(F.col(key).cast("long")).alias("last")) for source, key in columns]
+    last = reduce(DataFrame.union, each).agg(F.max("last")).first()[0]
+    domain = DOMAIN
+    while last is not None and domain <= last:  # keys begin at 0, the domain at 1
+        domain *= 2
+    return min(domain, MOST)
+
+
 def rows(spark: SparkSession, sf_dir: str, name: str, domain: int = DOMAIN) -> DataFrame:
     source, key, where = TABLES[name]
     df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").distinct() if name == "disp" else table(spark, sf_dir, source)
@@ -41,8 +59,8 @@ def freq(spark: SparkSession, sf_dir: str, name: str, domain: int = DOMAIN) -> D
     return key_freq(rows(spark, sf_dir, name, domain))
 
 
-def freqs(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
-    return {n: freq(spark, sf_dir, n) for n in names}
+def freqs(spark: SparkSession, sf_dir: str, *names: str, domain: int = DOMAIN) -> dict[str, DataFrame]:
+    return {n: freq(spark, sf_dir, n, domain) for n in names}
 
 
 def freq_sql(*names: str, domain: int = DOMAIN) -> str:

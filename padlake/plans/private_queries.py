@@ -13,7 +13,7 @@ from padlake.operators import bucket, frequency, partition
 from padlake.operators.held import held
 from padlake.operators.partition import PrivateScan
 from padlake.operators.tables import Table
-from padlake.plans.inputs import DOMAIN, freq, freq_sql, freqs, rows
+from padlake.plans.inputs import DOMAIN, domain_of, freq, freq_sql, freqs, rows
 from padlake.sources.tables import table
 
 SOURCE = Keyed()
@@ -74,7 +74,7 @@ def seal_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {freq_sql('orders_all')} SELECT key, freq FROM orders_all_freq")
 def key_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return freq(spark, sf_dir, "orders_all")
+    return freq(spark, sf_dir, "orders_all", domain_of(spark, sf_dir, "orders_all"))
 
 
 @query("SELECT (o_custkey + 1)::BIGINT AS key, count(*)::BIGINT AS freq, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS payloads FROM orders GROUP BY o_custkey")

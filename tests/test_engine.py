@@ -1,8 +1,12 @@
 """Closed-form values, hand-sized cases, invariants, and every query against its SQL in DuckDB."""
 
 import bisect
+import json
 import math
+import os
 import random
+import subprocess
+import sys
 from dataclasses import replace
 from pathlib import Path
 
@@ -368,3 +372,43 @@ def test_query_equals_its_sql(spark, duck, name):
     else:
         assert len(got)
     spark.catalog.clearCache()
+
+
+#: Where keys lie beyond the declared domain: by query, the domain whose SQL it equals. That is the wider one, or the declared one where its SQL leaves no key out.
+BEYOND = {
+    "key_freq": 2 * inputs.DOMAIN,
+}
+
+
+@pytest.fixture(scope="module")
+def beyond(tmp_path_factory):
+    """The tables of customers' keys twice, the second time beyond the declared domain, and the SQL of both domains."""
+    folder, con = tmp_path_factory.mktemp("beyond"), duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t, key in (("customer", "c_custkey"), ("orders", "o_custkey"), ("events", "user_id")):
+        rows = f"SELECT * FROM '{DATA}/{t}.parquet'"
+        con.execute(f"COPY ({rows} UNION ALL SELECT * REPLACE ({key} + 25000 AS {key}) FROM ({rows})) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    code = "import json; from padlake.plans import registry; print(json.dumps(registry.oracle_sql()))"
+    env = os.environ | {"PADLAKE_DOMAIN": str(2 * inputs.DOMAIN)}
+    wider = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], env=env, capture_output=True, text=True, check=True, timeout=120)
+    return str(folder), con, {inputs.DOMAIN: registry.oracle_sql(), 2 * inputs.DOMAIN: json.loads(wider.stdout)}
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+@pytest.mark.parametrize("name", BEYOND)
+def test_keys_beyond_the_declared_domain_are_in_the_result(spark, beyond, name):
+    folder, con, sql = beyond
+    got, want = registry.queries()[name](spark, folder).toPandas(), con.execute(sql[BEYOND[name]][name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert _plain(got) == _plain(want)
+    spark.catalog.clearCache()
+
+
+def test_the_domain_holds_every_key(spark, tmp_path):
+    """Keys begin at 0, the domain at 1; null keys and empty tables leave the domain as declared; the largest table counts."""
+    for last, want in ((None, 1), (0, 1), (inputs.DOMAIN - 1, 1), (inputs.DOMAIN, 2), (5 * inputs.DOMAIN, 8)):
+        frame(spark, [(3, "1-URGENT"), (last, "none")], "o_custkey int, o_orderpriority string").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+        frame(spark, [(7,)], "c_custkey long").where(F.lit(last is not None)).write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
+        for names in (("urgent",), ("disp",), ("account", "urgent")):
+            assert inputs.domain_of(spark, str(tmp_path), *names) == want * inputs.DOMAIN
