@@ -87,7 +87,7 @@ def key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {freq_sql('orders_all')} SELECT max(freq)::BIGINT AS max_freq FROM orders_all_freq")
 def max_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frequency.max_freq(freq(spark, sf_dir, "orders_all"))
+    return frequency.max_freq(freq(spark, sf_dir, "orders_all", domain_of(spark, sf_dir, "orders_all")))
 
 
 @query("SELECT greatest((SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)), (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)), 1)::BIGINT AS max_freq")
