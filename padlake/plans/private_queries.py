@@ -111,7 +111,8 @@ def noisy_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 1 AS step, a::BIGINT AS a, b::BIGINT AS b FROM j1 UNION ALL SELECT 2, a::BIGINT, b::BIGINT FROM j2""")
 def meta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata along a chain of joins."""
-    x, y, z = (JoinMeta.of_frequency(frequency.max_freq(f).first().max_freq, 0.1, 1e-6, SOURCE, t) for t, f in freqs(spark, sf_dir, *_METAS).items())
+    domain = domain_of(spark, sf_dir, *_METAS)
+    x, y, z = (JoinMeta.of_frequency(frequency.max_freq(f).first().max_freq, 0.1, 1e-6, SOURCE, t) for t, f in freqs(spark, sf_dir, *_METAS, domain=domain).items())
     return spark.createDataFrame([(1, x.join(y).a, x.join(y).b), (2, x.join(y).join(z).a, x.join(y).join(z).b)], "step int, a long, b long")
 
 

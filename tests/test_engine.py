@@ -378,6 +378,7 @@ def test_query_equals_its_sql(spark, duck, name):
 BEYOND = {
     "key_freq": 2 * inputs.DOMAIN,
     "max_freq": inputs.DOMAIN,
+    "meta_join": inputs.DOMAIN,
 }
 
 
