@@ -13,7 +13,7 @@ from padlake.operators import bucket, frequency, partition
 from padlake.operators.held import held
 from padlake.operators.partition import PrivateScan
 from padlake.operators.tables import Table
-from padlake.plans.inputs import DOMAIN, domain_of, freq, freq_sql, freqs, rows
+from padlake.plans.inputs import DOMAIN, MOST, domain_of, freq, freq_sql, freqs, rows
 from padlake.sources.tables import table
 
 SOURCE = Keyed()
@@ -151,8 +151,8 @@ def uniform_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT least((c_custkey + 1 - 1) // {DOMAIN // BINS}, {BINS - 1})::BIGINT AS part_id, count(*)::BIGINT AS n FROM customer GROUP BY 1")
 def uniform_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each equal interval, by arithmetic."""
-    return rows(spark, sf_dir, "account").groupBy(partition.uniform_bucket(F.col("key"), DOMAIN, BINS).alias("part_id")).agg(F.count("*").alias("n"))
+    """Rows of each equal interval, by arithmetic; the last one takes what lies beyond the domain too."""
+    return rows(spark, sf_dir, "account", MOST).groupBy(partition.uniform_bucket(F.col("key"), DOMAIN, BINS).alias("part_id")).agg(F.count("*").alias("n"))
 
 
 _BUCKETS_SQL = f"WITH {freq_sql('urgent')}, parts AS ({partition.uniform_parts_sql(DOMAIN, BINS)}), {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"

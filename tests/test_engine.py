@@ -379,6 +379,7 @@ BEYOND = {
     "key_freq": 2 * inputs.DOMAIN,
     "max_freq": inputs.DOMAIN,
     "meta_join": inputs.DOMAIN,
+    "uniform_buckets": inputs.DOMAIN,
 }
 
 
