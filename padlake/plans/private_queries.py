@@ -158,32 +158,36 @@ def uniform_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUCKETS_SQL = f"WITH {freq_sql('urgent')}, parts AS ({partition.uniform_parts_sql(DOMAIN, BINS)}), {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
 
 
-def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucket.buckets(freq(spark, sf_dir, "urgent"), partition.uniform_parts(spark, DOMAIN, BINS), DOMAIN, PAD, SOURCE, "urgent")
+def _buckets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Padded buckets of equal intervals, and their domain."""
+    domain = domain_of(spark, sf_dir, "urgent")
+    return bucket.buckets(freq(spark, sf_dir, "urgent", domain), partition.uniform_parts(spark, domain, BINS), domain, PAD, SOURCE, "urgent"), domain
 
 
 @query(f"{_BUCKETS_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def padded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return named(_buckets(spark, sf_dir))
+    return named(_buckets(spark, sf_dir)[0])
 
 
 @query(f"""{_BUCKETS_SQL} SELECT count(*)::BIGINT AS n_buckets, sum((n_real = 0)::INT)::BIGINT AS n_empty, sum(n_real)::BIGINT AS n_real, sum(n_dummy)::BIGINT AS n_dummy,
     round(sum(n_real + n_dummy) / sum(n_real), 6) AS ratio, round(sum(n_real + n_dummy) / count(*), 6) AS mean_size FROM b""")
 def bucket_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucket.summary(_buckets(spark, sf_dir))
+    return bucket.summary(_buckets(spark, sf_dir)[0])
 
 
 @query(f"{_BUCKETS_SQL} SELECT part_id::BIGINT AS part_id, 'real' AS kind, n_real AS n FROM b WHERE n_real > 0 UNION ALL SELECT part_id::BIGINT, 'dummy', n_dummy FROM b WHERE n_dummy > 0")
 def materialized_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real rows and dummies as rows, counted by bucket."""
-    padded = bucket.padded_rows(rows(spark, sf_dir, "urgent"), _buckets(spark, sf_dir), DOMAIN)
+    buckets, domain = _buckets(spark, sf_dir)
+    padded = bucket.padded_rows(rows(spark, sf_dir, "urgent", domain), buckets, domain)
     return padded.groupBy("part_id", F.when(F.col("is_dummy"), "dummy").otherwise("real").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'")
 def extracted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes back when the dummies go again."""
-    return bucket.real_rows(bucket.padded_rows(rows(spark, sf_dir, "urgent"), _buckets(spark, sf_dir), DOMAIN)).select("o_orderkey", "o_custkey", "o_orderstatus")
+    buckets, domain = _buckets(spark, sf_dir)
+    return bucket.real_rows(bucket.padded_rows(rows(spark, sf_dir, "urgent", domain), buckets, domain)).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 def _scan_query(kind: str):

@@ -165,7 +165,7 @@ def gen_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     printf('%.2f', round(sum(n_real + n_dummy) / sum(n_real), 6)), 'x, ', printf('%.1f', round(sum(n_real + n_dummy) / count(*), 6)), ' rows a bucket') AS line FROM b""")
 def bucket_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that is printed on a padded table."""
-    return spark.createDataFrame([(sinks.report("urgent", bucket.summary(_buckets(spark, sf_dir))),)], "line string")
+    return spark.createDataFrame([(sinks.report("urgent", bucket.summary(_buckets(spark, sf_dir)[0])),)], "line string")
 
 
 def _log_sql() -> str:

@@ -380,6 +380,7 @@ BEYOND = {
     "max_freq": inputs.DOMAIN,
     "meta_join": inputs.DOMAIN,
     "uniform_buckets": inputs.DOMAIN,
+    "padded_buckets": 2 * inputs.DOMAIN,
 }
 
 
