@@ -381,6 +381,7 @@ BEYOND = {
     "meta_join": inputs.DOMAIN,
     "uniform_buckets": inputs.DOMAIN,
     "padded_buckets": 2 * inputs.DOMAIN,
+    "bucket_summary": 2 * inputs.DOMAIN,
 }
 
 
