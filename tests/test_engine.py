@@ -382,6 +382,7 @@ BEYOND = {
     "uniform_buckets": inputs.DOMAIN,
     "padded_buckets": 2 * inputs.DOMAIN,
     "bucket_summary": 2 * inputs.DOMAIN,
+    "extracted_rows": inputs.DOMAIN,
 }
 
 
