@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,11 @@ SOURCE = Keyed()
 GEOMETRIC, PAD = ShiftedGeometric(0.5, 1e-5, 2), ShiftedGeometric(0.4, 1e-4)
 PLAIN, BOUNDED = Laplace(0.5, 2.0), BoundedLaplace(0.5, 2.0, 1e-5)
 BINS = 8
+#: Scans of a domain, on which their thresholds depend.
 SCANS = {
-    "offline": PrivateScan.offline(0.5, 1e-5, DOMAIN),
-    "clamped": PrivateScan.clamped(0.5, 1e-4, DOMAIN),
-    "keyfirst": PrivateScan.key_first(0.5, 1e-4, DOMAIN),
+    "offline": partial(PrivateScan.offline, 0.5, 1e-5),
+    "clamped": partial(PrivateScan.clamped, 0.5, 1e-4),
+    "keyfirst": partial(PrivateScan.key_first, 0.5, 1e-4),
 }
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -192,32 +194,33 @@ def extracted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scan_query(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return named(partition.private_parts(freq(spark, sf_dir, "urgent"), SCANS[kind], SOURCE, "urgent"))
+        domain = domain_of(spark, sf_dir, "urgent")
+        return named(partition.private_parts(freq(spark, sf_dir, "urgent", domain), SCANS[kind](domain), SOURCE, "urgent"))
 
     run.__name__ = f"dp_parts_{kind}"
     run.__doc__ = f"Private intervals by the {kind} scan."
-    return query(f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sql('p', 'urgent_freq', SCANS[kind], SOURCE, 'urgent')} SELECT part_id::BIGINT AS part_id, {_LO_HI} FROM p")(run)
+    return query(f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sql('p', 'urgent_freq', SCANS[kind](DOMAIN), SOURCE, 'urgent')} SELECT part_id::BIGINT AS part_id, {_LO_HI} FROM p")(run)
 
 
 for _kind in SCANS:
     _scan_query(_kind)
 
-_SINGLE_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sql('parts', 'urgent_freq', SCANS['clamped'], SOURCE, 'urgent')}, {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
+_SINGLE_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sql('parts', 'urgent_freq', SCANS['clamped'](DOMAIN), SOURCE, 'urgent')}, {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
 
 
 @query(f"{_SINGLE_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table from rows to padded private buckets."""
     f = held(freq(spark, sf_dir, "urgent"))
-    return named(bucket.buckets(f, partition.private_parts(f, SCANS["clamped"], SOURCE, "urgent"), DOMAIN, PAD, SOURCE, "urgent"))
+    return named(bucket.buckets(f, partition.private_parts(f, SCANS["clamped"](DOMAIN), SOURCE, "urgent"), DOMAIN, PAD, SOURCE, "urgent"))
 
 
 PIECES = 8
-_PRECUT_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.precut_parts_sql('parts', 'urgent_freq', SCANS['offline'], SOURCE, 'urgent', PIECES)}, {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
+_PRECUT_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.precut_parts_sql('parts', 'urgent_freq', SCANS['offline'](DOMAIN), SOURCE, 'urgent', PIECES)}, {bucket.buckets_sql('b', 'urgent_freq', 'parts', PAD, SOURCE, 'urgent')}"
 
 
 @query(f"{_PRECUT_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def dp_parts_precut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans of eight pieces of the domain, side by side, and their buckets."""
     f = held(freq(spark, sf_dir, "urgent"))
-    return named(bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"], SOURCE, "urgent", PIECES), DOMAIN, PAD, SOURCE, "urgent"))
+    return named(bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"](DOMAIN), SOURCE, "urgent", PIECES), DOMAIN, PAD, SOURCE, "urgent"))

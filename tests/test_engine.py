@@ -383,6 +383,7 @@ BEYOND = {
     "padded_buckets": 2 * inputs.DOMAIN,
     "bucket_summary": 2 * inputs.DOMAIN,
     "extracted_rows": inputs.DOMAIN,
+    "dp_parts_clamped": 2 * inputs.DOMAIN,
 }
 
 
