@@ -384,6 +384,7 @@ BEYOND = {
     "bucket_summary": 2 * inputs.DOMAIN,
     "extracted_rows": inputs.DOMAIN,
     "dp_parts_clamped": 2 * inputs.DOMAIN,
+    "dp_parts_keyfirst": 2 * inputs.DOMAIN,
 }
 
 
