@@ -211,8 +211,9 @@ _SINGLE_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.private_parts_sq
 @query(f"{_SINGLE_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table from rows to padded private buckets."""
-    f = held(freq(spark, sf_dir, "urgent"))
-    return named(bucket.buckets(f, partition.private_parts(f, SCANS["clamped"](DOMAIN), SOURCE, "urgent"), DOMAIN, PAD, SOURCE, "urgent"))
+    domain = domain_of(spark, sf_dir, "urgent")
+    f = held(freq(spark, sf_dir, "urgent", domain))
+    return named(bucket.buckets(f, partition.private_parts(f, SCANS["clamped"](domain), SOURCE, "urgent"), domain, PAD, SOURCE, "urgent"))
 
 
 PIECES = 8

@@ -385,6 +385,7 @@ BEYOND = {
     "extracted_rows": inputs.DOMAIN,
     "dp_parts_clamped": 2 * inputs.DOMAIN,
     "dp_parts_keyfirst": 2 * inputs.DOMAIN,
+    "single_table": 2 * inputs.DOMAIN,
 }
 
 
