@@ -223,5 +223,6 @@ _PRECUT_SQL = f"WITH RECURSIVE {freq_sql('urgent')}, {partition.precut_parts_sql
 @query(f"{_PRECUT_SQL} SELECT part_id::BIGINT AS part_id, {_LO_HI}, n_real, n_dummy FROM b")
 def dp_parts_precut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans of eight pieces of the domain, side by side, and their buckets."""
-    f = held(freq(spark, sf_dir, "urgent"))
-    return named(bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"](DOMAIN), SOURCE, "urgent", PIECES), DOMAIN, PAD, SOURCE, "urgent"))
+    domain = domain_of(spark, sf_dir, "urgent")
+    f = held(freq(spark, sf_dir, "urgent", domain))
+    return named(bucket.buckets(f, partition.private_parts_precut(f, SCANS["offline"](domain), SOURCE, "urgent", PIECES), domain, PAD, SOURCE, "urgent"))
