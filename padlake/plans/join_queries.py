@@ -13,7 +13,7 @@ from padlake.functions.noise import Keyed, ShiftedGeometric
 from padlake.operators import bucket, frequency, interval_join, partition
 from padlake.operators.interval_join import Side
 from padlake.operators.tables import join_tables
-from padlake.plans.inputs import DOMAIN, ORDER_DOMAIN, declared, freq, freq_sql, freqs, rows
+from padlake.plans.inputs import DOMAIN, MOST, ORDER_DOMAIN, declared, freq, freq_sql, freqs, rows
 from padlake.plans.private_queries import named
 from padlake.plans.routes import Route
 from padlake.sources.tables import table
@@ -208,7 +208,7 @@ def padded_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, event_id, value FROM orders JOIN events ON o_custkey = user_id WHERE o_orderpriority = '1-URGENT' AND event_type = 'click'")
 def joined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real rows of a padded join."""
-    return interval_join.joined_rows(rows(spark, sf_dir, "urgent"), rows(spark, sf_dir, "trans")).select("o_orderkey", "event_id", "value")
+    return interval_join.joined_rows(rows(spark, sf_dir, "urgent", MOST), rows(spark, sf_dir, "trans", MOST)).select("o_orderkey", "event_id", "value")
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

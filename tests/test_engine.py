@@ -387,6 +387,7 @@ BEYOND = {
     "dp_parts_keyfirst": 2 * inputs.DOMAIN,
     "single_table": 2 * inputs.DOMAIN,
     "dp_parts_precut": 2 * inputs.DOMAIN,
+    "joined_rows": inputs.DOMAIN,
 }
 
 
