@@ -13,7 +13,7 @@ from padlake.functions.noise import Keyed, ShiftedGeometric
 from padlake.operators import bucket, frequency, interval_join, partition
 from padlake.operators.interval_join import Side
 from padlake.operators.tables import join_tables
-from padlake.plans.inputs import DOMAIN, MOST, ORDER_DOMAIN, declared, freq, freq_sql, freqs, rows
+from padlake.plans.inputs import DOMAIN, MOST, ORDER_DOMAIN, declared, domain_of, freq, freq_sql, freqs, rows
 from padlake.plans.private_queries import named
 from padlake.plans.routes import Route
 from padlake.sources.tables import table
@@ -38,10 +38,10 @@ def query(sql: str | None = None):
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[Side, Side]:
-    out = []
+    domain, out = domain_of(spark, sf_dir, "account", "urgent"), []
     for t, bins in (("account", 6), ("urgent", 9)):
-        f = freq(spark, sf_dir, t)
-        out.append(Side(f, bucket.buckets(f, partition.uniform_parts(spark, DOMAIN, bins), DOMAIN, PAD, SOURCE, t), DOMAIN))
+        f = freq(spark, sf_dir, t, domain)
+        out.append(Side(f, bucket.buckets(f, partition.uniform_parts(spark, domain, bins), domain, PAD, SOURCE, t), domain))
     return out[0], out[1]
 
 
@@ -82,8 +82,8 @@ def bounded_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_oblivious_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every compared pair of rows is made, and counted by aligned interval."""
     a, b = _sides(spark, sf_dir)
-    left, right = bucket.padded_rows(rows(spark, sf_dir, "account").select("key"), a.buckets, DOMAIN), bucket.padded_rows(rows(spark, sf_dir, "urgent").select("key"), b.buckets, DOMAIN)
-    met = interval_join.strict_pairs(left, right, a.buckets, b.buckets, 2, DOMAIN)
+    left, right = (bucket.padded_rows(rows(spark, sf_dir, t, s.domain).select("key"), s.buckets, s.domain) for t, s in (("account", a), ("urgent", b)))
+    met = interval_join.strict_pairs(left, right, a.buckets, b.buckets, 2, a.domain)
     counts = met.groupBy("pair").agg(F.count("*").alias("n_pairs"), F.sum(F.col("is_match").cast("long")).alias("n_matches"))
     every = interval_join.align(a.buckets, b.buckets).select("pair")
     return every.join(counts, "pair", "left").select("pair", F.coalesce("n_pairs", F.lit(0)).cast("long").alias("n_pairs"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))

@@ -388,6 +388,7 @@ BEYOND = {
     "single_table": 2 * inputs.DOMAIN,
     "dp_parts_precut": 2 * inputs.DOMAIN,
     "joined_rows": inputs.DOMAIN,
+    "batch_sizes": 2 * inputs.DOMAIN,
 }
 
 
