@@ -389,6 +389,7 @@ BEYOND = {
     "dp_parts_precut": 2 * inputs.DOMAIN,
     "joined_rows": inputs.DOMAIN,
     "batch_sizes": 2 * inputs.DOMAIN,
+    "bounded_padding": 2 * inputs.DOMAIN,
 }
 
 
