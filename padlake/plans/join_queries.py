@@ -15,7 +15,7 @@ from padlake.operators.interval_join import Side
 from padlake.operators.tables import join_tables
 from padlake.plans.inputs import DOMAIN, MOST, ORDER_DOMAIN, declared, domain_of, freq, freq_sql, freqs, rows
 from padlake.plans.private_queries import named
-from padlake.plans.routes import Route
+from padlake.plans.routes import Route, Run
 from padlake.sources.tables import table
 
 SOURCE = Keyed()
@@ -115,9 +115,15 @@ ROUTES = {
 }
 
 
+def routed(spark: SparkSession, sf_dir: str, route: Route, tables: tuple[str, ...]) -> Run:
+    """The route over the tables' own domain."""
+    domain = domain_of(spark, sf_dir, *tables)
+    return replace(route, domain=domain).same_key(freqs(spark, sf_dir, *tables, domain=domain))
+
+
 def _route_query(name: str, route: Route, tables: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return named(route.same_key(freqs(spark, sf_dir, *tables)).side.buckets)
+        return named(routed(spark, sf_dir, route, tables).side.buckets)
 
     run.__name__ = name
     run.__doc__ = f"The last batches of the {route.kind} route over {', '.join(tables)}."

@@ -390,6 +390,7 @@ BEYOND = {
     "joined_rows": inputs.DOMAIN,
     "batch_sizes": 2 * inputs.DOMAIN,
     "bounded_padding": 2 * inputs.DOMAIN,
+    "padded_2way_a": 2 * inputs.DOMAIN,
 }
 
 
