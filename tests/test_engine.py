@@ -391,6 +391,7 @@ BEYOND = {
     "batch_sizes": 2 * inputs.DOMAIN,
     "bounded_padding": 2 * inputs.DOMAIN,
     "padded_2way_a": 2 * inputs.DOMAIN,
+    "padded_2way_c": 2 * inputs.DOMAIN,
 }
 
 
