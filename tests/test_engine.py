@@ -392,6 +392,7 @@ BEYOND = {
     "bounded_padding": 2 * inputs.DOMAIN,
     "padded_2way_a": 2 * inputs.DOMAIN,
     "padded_2way_c": 2 * inputs.DOMAIN,
+    "count_join_2way": 2 * inputs.DOMAIN,
 }
 
 
