@@ -394,6 +394,7 @@ BEYOND = {
     "padded_2way_c": 2 * inputs.DOMAIN,
     "count_join_2way": 2 * inputs.DOMAIN,
     "padded_3way_b": 2 * inputs.DOMAIN,
+    "padded_q5_a": 2 * inputs.DOMAIN,
 }
 
 
