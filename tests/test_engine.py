@@ -395,6 +395,7 @@ BEYOND = {
     "count_join_2way": 2 * inputs.DOMAIN,
     "padded_3way_b": 2 * inputs.DOMAIN,
     "padded_q5_a": 2 * inputs.DOMAIN,
+    "padded_q6_a": 2 * inputs.DOMAIN,
 }
 
 
