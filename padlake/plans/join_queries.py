@@ -136,7 +136,7 @@ for _name, (_r, _tables) in ROUTES.items():
 
 def _cost_query(name: str, route: Route, tables: tuple[str, ...]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return interval_join.cost_totals(route.same_key(freqs(spark, sf_dir, *tables)).costs())
+        return interval_join.cost_totals(routed(spark, sf_dir, route, tables).costs())
 
     run.__name__ = name
     run.__doc__ = f"Comparisons, scans and sorts of the {route.kind} route over {', '.join(tables)}."
