@@ -398,6 +398,7 @@ BEYOND = {
     "padded_q6_a": 2 * inputs.DOMAIN,
     "count_join_3way": 2 * inputs.DOMAIN,
     "cost_totals_b": 2 * inputs.DOMAIN,
+    "cost_totals_c": 2 * inputs.DOMAIN,
 }
 
 
