@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from padlake.operators import bucket, interval_join
 from padlake.operators.tables import join_tables
-from padlake.plans.inputs import freqs
 from padlake.plans.join_queries import ORACLE as JOIN_ORACLE
-from padlake.plans.join_queries import ROUTES
+from padlake.plans.join_queries import ROUTES, routed
 from padlake.plans.private_queries import _BUCKETS_SQL, _buckets
 from padlake.sources import csv, generators, sinks
 from padlake.sources.scratch import shared_folder
@@ -180,7 +179,7 @@ def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "cost_log")
     seconds = {}
     with sinks.timed(seconds, "route"):
-        events = route.same_key(freqs(spark, sf_dir, *tables)).costs()
+        events = routed(spark, sf_dir, route, tables).costs()
         interval_join.cost_totals(events).collect()
     sinks.write_cost_log(events, path, seconds)
     lines = spark.read.text(path).select(F.split("value", "\t").alias("x"))

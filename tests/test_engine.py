@@ -399,6 +399,7 @@ BEYOND = {
     "count_join_3way": 2 * inputs.DOMAIN,
     "cost_totals_b": 2 * inputs.DOMAIN,
     "cost_totals_c": 2 * inputs.DOMAIN,
+    "cost_log": 2 * inputs.DOMAIN,
 }
 
 
