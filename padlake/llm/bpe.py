@@ -2,7 +2,8 @@
 
 A merge list has a finite *sufficient lookahead*: once that many symbols have been read beyond a token's end, nothing
 that follows can change the token. The encoder therefore reads a piece through a window, emits the tokens that are
-stable, and drops what they cover, so that its memory doesn't depend on the length of the text.
+stable, and drops what they cover, so that its memory doesn't depend on the length of the text. Pieces that are no longer
+than a word need no window: the new ones of some texts are merged side by side, and remembered.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +29,14 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 WINDOW = 1024
 #: Characters that are cut into pieces at a time.
 SEGMENT = 1 << 16
-#: Pieces whose tokens are remembered by a worker; beyond, the memory is emptied.
+#: Pieces whose tokens are remembered by a worker, about: those met while the last half of them, or the half before, was filled.
 REMEMBERED = 300_000
+#: Characters of a piece that is remembered, at most.
+SHORT = 64
+#: Pieces that are looked up together. Where FEW or more of them are new, those are merged side by side in arrays of so many CELLS at most.
+TOGETHER, FEW, CELLS = 1 << 18, 64, 1 << 18
+#: Stand for no symbol and no merge; ids are less than 2**20.
+NO_ID, NO_RANK = (1 << 20) - 1, (1 << 31) - 1
 #: Ids that the decoder takes at a time.
 BLOCK = 1 << 14
 
@@ -77,16 +85,92 @@ class Transducer(dict):
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         self.bytes_of: dict[int, bytes] = {k: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, k in (vocab | self.special).items()}
         self.width = {k: len(b) for k, b in self.bytes_of.items()}
+        self.widths = np.array([self.width.get(k, -1) for k in range(max(self.width) + 1)], np.int64)  # -1: an id of nothing, which is an error
+        self.starts = np.cumsum(self.widths.clip(0)) - self.widths.clip(0)
+        self.pool = np.frombuffer(b"".join(self.bytes_of[k] for k in sorted(self.bytes_of)), np.uint8)
+        self.before: dict[str, bytes] = {}  # remembered longer ago
+        self._arrays(merges, vocab)
         self.cut = regex.compile(PIECES).findall
         self.added = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def _arrays(self, merges: list[tuple[str, str]], vocab: dict[str, int]) -> None:
+        """What many pieces are merged by: the rank of each pair of bytes, and a hash table of all pairs."""
+        self.bases = np.array(self.base, np.int32)
+        self.made = np.array([vocab[u + v] for u, v in merges], np.int32)
+        self.bits = max(4, (4 * len(merges)).bit_length())
+        keys, places = [-1] * (1 << self.bits), [NO_RANK] * (1 << self.bits)
+        for key, (k, _) in self.rank.items():
+            at = key * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - self.bits
+            while keys[at] >= 0:
+                at = at + 1 & (1 << self.bits) - 1
+            keys[at], places[at] = key, k
+        self.keys, self.places = np.array(keys, np.int64), np.array(places, np.int32)
+        self.pairs = self.ranks(np.repeat(self.bases, 256), np.tile(self.bases, 256))
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each two symbols, NO_RANK where there is none."""
+        key = left.astype(np.int64) << 20 | right
+        at = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+        met = self.keys[at]
+        out = np.where(met == key, self.places[at], np.int32(NO_RANK))
+        open_ = np.flatnonzero((met != key) & (met >= 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            met = self.keys[at[open_]]
+            hit = met == key[open_]
+            out[open_[hit]] = self.places[at[open_[hit]]]
+            open_ = open_[~hit & (met >= 0)]
+        return out
+
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't remembered; the short ones are from now on."""
+        found = {p: self.before[p] for p in wanted.intersection(self.before)}
+        new = sorted((p for p in wanted if p not in found and len(p) <= SHORT), key=len, reverse=True)
+        if len(new) < FEW:
+            found.update((p, self.alone(p)) for p in new)
+            new = []
+        at = 0
+        while at < len(new):
+            some = new[at : at + CELLS // (4 * len(new[at]) + 2)]
+            found.update(zip(some, self.merged_together([p.encode() for p in some])))
+            at += len(some)
+        if len(self) + len(found) > REMEMBERED // 2:
+            self.before = dict(self)
             self.clear()
-        ids = np.fromiter(self.tokens(piece.encode()), np.int32).tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        self.update(found)
+        found.update((p, self.alone(p)) for p in wanted if len(p) > SHORT)
+        return found
+
+    def alone(self, piece: str) -> bytes:
+        return array("i", self.tokens(piece.encode())).tobytes()
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """The merge list applied to each piece, as int32 bytes: in every round each piece gets its best merge, the leftmost of equal ones."""
+        n, width = len(pieces), max(map(len, pieces)) + 2  # a column of no symbol on either side
+        read = np.frombuffer(b"".join(p.ljust(width - 2, b"\0") for p in pieces), np.uint8).reshape(n, width - 2)
+        sizes = np.fromiter(map(len, pieces), np.int64, n)[:, None]
+        column = np.arange(width - 2)
+        ids, rank = np.full((n, width), NO_ID, np.int32), np.full((n, width), NO_RANK, np.int32)
+        ids[:, 1:-1] = np.where(column < sizes, self.bases[read], np.int32(NO_ID))
+        both = read[:, :-1].astype(np.int32) << 8 | read[:, 1:]
+        rank[:, 1:-2] = np.where(column[1:] < sizes, self.pairs[both], np.int32(NO_RANK))
+        flat, place = ids.reshape(-1), rank.reshape(-1)
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        rows = np.arange(n)
+        while len(rows):
+            here = rank[rows]
+            k = here.argmin(axis=1)
+            best = here[np.arange(len(rows)), k]
+            some = best < NO_RANK
+            rows, at, best = rows[some], (rows * width + k)[some], best[some]
+            gone, new, last = after[at], self.made[best], before[at]
+            end = after[gone]
+            flat[at], flat[gone], place[gone] = new, NO_ID, NO_RANK
+            after[at], before[end] = end, at
+            place[at], place[last] = self.ranks(new, flat[end]), self.ranks(flat[last], new)
+        left = ids != NO_ID
+        ends, kept = np.cumsum(left.sum(axis=1)) * 4, ids[left].tobytes()
+        return [kept[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
     def tokens(self, piece: bytes) -> Iterator[int]:
         """The ids of one piece, each as soon as it is stable."""
@@ -161,22 +245,60 @@ class Transducer(dict):
             at = end
         yield text[at:] if at else text
 
-    def plain(self, text: str) -> bytes:
-        if len(text) <= SEGMENT:
-            return b"".join(map(self.__getitem__, self.cut(text)))
-        return b"".join(self[p] for s in self.segments(text) for p in self.cut(s))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as int32 bytes; the strings of added tokens are those tokens."""
+    def runs(self, text: str) -> Iterator[tuple[list[str], bytes]]:
+        """The pieces of a text, segment by segment, each with the id of the added token after it, as int32 bytes, if there is one."""
         if not self.special or not any(s in text for s in self.special):
-            return self.plain(text)
+            yield from ((self.cut(s), b"") for s in self.segments(text))
+            return
         found = [*self.added.findall(text), None]
-        return b"".join(self.plain(part) + (np.int32(self.special[s]).tobytes() if s else b"") for part, s in zip(self.added.splititer(text), found))
+        for part, s in zip(self.added.splititer(text), found):
+            yield from ((self.cut(x), b"") for x in self.segments(part))
+            if s:
+                yield [], np.int32(self.special[s]).tobytes()
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text as int32 bytes; the strings of added tokens are those tokens."""
+        done: list[list[bytes]] = []
+        held: list[tuple[int, list[bytes | None], list[str], bytes]] = []
+        n, wanted = 0, set()
+
+        def release() -> None:
+            found = self.learn(wanted)
+            for k, ids, new, token in held:
+                rest = map(found.__getitem__, new)
+                done[k] += [b"".join([next(rest) if x is None else x for x in ids] if new else ids), token]
+            held.clear()
+            wanted.clear()
+
+        for k, text in enumerate(texts):
+            done.append([])
+            for pieces, token in self.runs(text):
+                ids = list(map(self.get, pieces))
+                new = [p for p, x in zip(pieces, ids) if x is None] if None in ids else []
+                wanted.update(new)
+                held.append((k, ids, new, token))
+                n += len(pieces) + 1
+                if n >= TOGETHER:
+                    release()
+                    n = 0
+        release()
+        return [b"".join(x) for x in done]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of tokens, one after another."""
+        if ids.min() < 0:
+            raise IndexError("an id below 0")
+        widths = self.widths[ids]
+        ends = widths.cumsum()
+        return self.pool[np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(ends[-1])].tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The text of ids: the bytes of a block of tokens go through a UTF-8 state machine, which holds at most an unfinished character."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        blocks = [machine.decode(b"".join(map(self.bytes_of.__getitem__, ids[k : k + BLOCK]))) for k in range(0, len(ids), BLOCK)]
+        machine, ids = codecs.getincrementaldecoder("utf-8")("replace"), np.asarray(ids)
+        blocks = [machine.decode(self.spelled(ids[k : k + BLOCK])) for k in range(0, len(ids), BLOCK)]
         return "".join([*blocks, machine.decode(b"", True)])
 
 
@@ -190,7 +312,7 @@ def _encode(path: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = transducer(path)
         for texts in batches:
-            ids = [t.encode(x.as_py() or "") for x in texts]
+            ids = t.encode_all(x.as_py() or "" for x in texts)
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             trim()
@@ -204,7 +326,7 @@ def _decode(path: str):
         t = transducer(path)
         for lists in batches:
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            yield pa.array([t.decode(values[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.string())
+            yield pa.array([t.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
             trim()
 
     return decode
@@ -217,8 +339,8 @@ def _both(path: str):
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = transducer(path)
         for texts in batches:
-            ids = [t.encode(x.as_py() or "") for x in texts]
-            decoded = pa.array([t.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string())
+            ids = t.encode_all(x.as_py() or "" for x in texts)
+            decoded = pa.array([t.decode(np.frombuffer(x, np.int32)) for x in ids], pa.string())
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))), decoded], fields=list(kind))
             trim()
