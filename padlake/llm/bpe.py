@@ -30,11 +30,11 @@ WINDOW = 1024
 #: Characters that are cut into pieces at a time.
 SEGMENT = 1 << 16
 #: Pieces whose tokens are remembered by a worker, about: those met while the last half of them, or the half before, was filled.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of a piece that is remembered, at most.
 SHORT = 64
 #: Pieces that are looked up together. Where FEW or more of them are new, those are merged side by side in arrays of so many CELLS at most.
-TOGETHER, FEW, CELLS = 1 << 18, 64, 1 << 18
+TOGETHER, FEW, CELLS = 1 << 16, 64, 1 << 18
 #: Stand for no symbol and no merge; ids are less than 2**20.
 NO_ID, NO_RANK = (1 << 20) - 1, (1 << 31) - 1
 #: Ids that the decoder takes at a time.
