@@ -428,6 +428,20 @@ def test_keys_beyond_the_declared_domain_are_in_the_result(spark, beyond, name):
     spark.catalog.clearCache()
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+@pytest.mark.parametrize("name", ["max_freq", "meta_join"])
+def test_the_largest_frequency_may_lie_beyond_the_declared_domain(spark, beyond, tmp_path, name):
+    """One key beyond is the most frequent: it counts, while the SQL of the declared domain doesn't see it."""
+    con, sql = duckdb.connect(), beyond[2]
+    for t, more in (("customer", ""), ("events", ""), ("orders", f"UNION ALL SELECT * REPLACE (25000 AS o_custkey, '1-URGENT' AS o_orderpriority) FROM '{DATA}/orders.parquet'")):
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{t}.parquet' {more}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = _plain(registry.queries()[name](spark, str(tmp_path)).toPandas())
+    declared, wider = (_plain(con.execute(sql[d][name]).df()) for d in (inputs.DOMAIN, 2 * inputs.DOMAIN))
+    assert got == wider != declared
+    spark.catalog.clearCache()
+
+
 def test_the_domain_holds_every_key(spark, tmp_path):
     """Keys begin at 0, the domain at 1; null keys and empty tables leave the domain as declared; the largest table counts."""
     for last, want in ((None, 1), (0, 1), (inputs.DOMAIN - 1, 1), (inputs.DOMAIN, 2), (5 * inputs.DOMAIN, 8)):
